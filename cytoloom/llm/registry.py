@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op4_byte_bpe
+from .ngram_join import op10_ngram_jaccard_join
 from .pii import op1_pii_sanitise
 from .secrets import op2_secret_scan
+from .toxicity import op3_toxicity
 from .urls import OP8_SQL, op8_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_secret_scan, op4_byte_bpe, op8_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_secret_scan, op3_toxicity, op4_byte_bpe, op8_url_filters, op10_ngram_jaccard_join)}
 
 ORACLE_SQL = {"op8_url_filters": OP8_SQL}
