@@ -45,6 +45,8 @@ CURVE_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
 #: Distinct words a task counts before it hands the counts on, and words whose evidence a worker remembers.
 FLUSH_WORDS, CACHED_WORDS = 300_000, 300_000
+#: Words whose grams are held in memory at once.
+AT_ONCE = 10_000
 #: Words without evidence added to each document's number, so that one odd word is no verdict.
 PADDING = 3
 #: Score from which a document is called toxic.
@@ -179,8 +181,9 @@ class Model:
         if len(self.known) >= CACHED_WORDS:
             self.known.clear()
         new = list({w for words in split for w in words if w not in self.known})
-        if new:
-            self.known.update(zip(new, self.word_evidence(new).tolist()))
+        for i in range(0, len(new), AT_ONCE):
+            some = new[i : i + AT_ONCE]
+            self.known.update(zip(some, self.word_evidence(some).tolist()))
         return np.array([sum(map(self.known.__getitem__, words)) / (len(words) + PADDING) if words else 0.0 for words in split])
 
     def __getstate__(self):
