@@ -21,6 +21,7 @@ columns are ignored by ``score`` and kept by ``keep_ordinary``.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -187,7 +188,14 @@ class Model:
         return np.array([sum(map(self.known.__getitem__, words)) / (len(words) + PADDING) if words else 0.0 for words in split])
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        # most cells are empty, so what is broadcast is a small part of the tables
+        pack = lambda tables: [(t.shape, zlib.compress(t.tobytes(), 1)) for t in tables]
+        return {"discount": self.discount} | {n: pack(getattr(self, n)) for n in ("count", "total", "types")}
+
+    def __setstate__(self, state):
+        self.discount, self.known = state["discount"], {}
+        for n in ("count", "total", "types"):
+            setattr(self, n, [np.frombuffer(zlib.decompress(b), np.float32).reshape(shape) for shape, b in state[n]])
 
 
 def models(counts: DataFrame) -> dict[str, Model]:
@@ -275,6 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return {"toxic": cols["toxic"], "x": out}
 
     got = map_slices(sample.select("text", "toxic", "half"), run, StructType.fromDDL("toxic int, x double"), "text").toArrow()
+    halves.destroy()
     x, y = got["x"].to_numpy(), got["toxic"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return Scorer(None, None, float(y.mean() if len(y) else 0.0))
