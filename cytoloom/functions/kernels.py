@@ -11,6 +11,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType, StructField, StructType
 
 # Affine score of a match, mismatch, gap opening and extension, and its band.
 MATCH, MISMATCH, OPEN, EXTEND, BAND = 1, 4, 6, 1, 10
@@ -181,28 +182,32 @@ def mixed(values: list[int], seed: int = 0) -> int:
     return state
 
 
-@F.pandas_udf("struct<distance:int,cigar:string,multiple:boolean>")
+def struct_of(**fields: DataType) -> StructType:
+    return StructType([StructField(n, t) for n, t in fields.items()])
+
+
+@F.pandas_udf(struct_of(distance=IntegerType(), cigar=StringType(), multiple=BooleanType()))
 def alignment_udf(ref: pd.Series, query: pd.Series, bottom: pd.Series) -> pd.DataFrame:
     rows = [(None, None, None) if r is None or q is None else alignment(r, q, bool(b)) for r, q, b in zip(ref, query, bottom)]
     return pd.DataFrame(rows, columns=["distance", "cigar", "multiple"])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def distance_udf(ref: pd.Series, query: pd.Series, bottom: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or q is None else distance(r, q, bool(b)) for r, q, b in zip(ref, query, bottom)], dtype="Int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def affine_udf(ref: pd.Series, query: pd.Series, bottom: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or q is None else affine_score(r, q, bool(b)) for r, q, b in zip(ref, query, bottom)], dtype="Int32")
 
 
-@F.pandas_udf("struct<left:int,right:int,distance:int>")
+@F.pandas_udf(struct_of(left=IntegerType(), right=IntegerType(), distance=IntegerType()))
 def clipped_udf(ref: pd.Series, query: pd.Series, edits: pd.Series) -> pd.DataFrame:
     rows = [clipped(r, q, int(e)) if r is not None and q is not None else None for r, q, e in zip(ref, query, edits)]
     return pd.DataFrame([x or (None, None, None) for x in rows], columns=["left", "right", "distance"])
 
 
-@F.pandas_udf("array<struct<start:int,end:int,distance:int>>")
+@F.pandas_udf(ArrayType(struct_of(start=IntegerType(), end=IntegerType(), distance=IntegerType())))
 def flexible_udf(window: pd.Series, query: pd.Series, slack: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("start", "end", "distance"), x)) for x in flexible(w, q, int(s))] if w is not None and q is not None else None for w, q, s in zip(window, query, slack)])

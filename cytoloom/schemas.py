@@ -19,4 +19,9 @@ _DDL = {
     "candidates": "read_id bigint, contig string, strand string, start bigint, proof_mask bigint",
 }
 
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+NAMES = tuple(_DDL)
+
+
+def schema(name: str) -> StructType:
+    """The schema of a table; needs a running session, as parsing is Spark's."""
+    return StructType.fromDDL(_DDL[name])
