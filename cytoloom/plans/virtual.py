@@ -83,22 +83,27 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("fragment_id", "segment", "contig", "position", "base as reference_base", f"{QUERY} as query_base", "base_quality", "mapping_quality", "strand", "context", "second")
 
 
-READS_SQL = """reads as (
-  select doc_id as read_id, upper(substr(regexp_replace(text, '[^ACGTNacgtn]', '', 'g'), 1, 192)) as seq from documents
-  where length(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) >= 3
+# letters stand for bases in turn; z for an unknown one
+_LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN"
+
+READS_SQL = f"""letters as (
+  select doc_id, translate(regexp_replace(text, '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') as t from documents
+), reads as (
+  select doc_id * 100000 + i // 36 as read_id, substr(t, cast(i + 1 as int), 36) as seq from (select doc_id, t, unnest(range(0, length(t), 36)) as i from letters) z where length(substr(t, cast(i + 1 as int), 36)) >= 3
 ), contigs as (
-  select 'c' || item_id as contig, upper(regexp_replace(text, '[^ACGTNacgtn]', '', 'g')) as seq from benchmark
+  select 'c' || item_id as contig, translate(regexp_replace(text, '[^a-z]', '', 'g'), '{_LETTERS}', '{_BASES}') as seq from benchmark
 )"""
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' letters among A, C, G, T, N as reads of at most 192 bases, which is a read's longest."""
-    seq = F.regexp_replace("text", "[^ACGTNacgtn]", "")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.upper(F.substring(seq, 1, 192)).alias("seq"), F.length(seq).alias("_n")).where("_n >= 3").drop("_n")
+    """Documents' small letters as bases, cut into reads of 36."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.regexp_replace("text", "[^a-z]", ""), _LETTERS, _BASES).alias("t")).where("length(t) > 0")
+    rows = rows.select("doc_id", "t", F.explode(F.expr("sequence(0, length(t) - 1, 36)")).alias("i"))
+    return rows.selectExpr("doc_id * 100000 + i div 36 as read_id", "substr(t, i + 1, 36) as seq").where("length(seq) >= 3")
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("contig"), F.upper(F.regexp_replace("text", "[^ACGTNacgtn]", "")).alias("seq"))
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("contig"), F.translate(F.regexp_replace("text", "[^a-z]", ""), _LETTERS, _BASES).alias("seq"))
 
 
 INTERVALS_SQL = """intervals as (
