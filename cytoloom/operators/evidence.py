@@ -81,7 +81,7 @@ def alignment_columns(records: DataFrame) -> DataFrame:
         return F.struct(
             (acc["r"] + F.when(takes(op, "MD=X"), n).otherwise(0) + bad).alias("r"),
             (acc["q"] + F.when(takes(op, "MIS=X"), n).otherwise(0)).alias("q"),
-            F.when(takes(op, "MD=X"), F.concat(acc["out"], F.array(F.struct(op.alias("op"), acc["r"].alias("r"), acc["q"].alias("q"), n.alias("len"))))).otherwise(acc["out"]).alias("out"),
+            F.when(takes(op, "MD=X") & (n > 0), F.concat(acc["out"], F.array(F.struct(op.alias("op"), acc["r"].alias("r"), acc["q"].alias("q"), n.alias("len"))))).otherwise(acc["out"]).alias("out"),
         )
 
     runs = F.aggregate(cigar_runs(F.col("cigar")), start, step)["out"]
