@@ -99,6 +99,17 @@ def deduplicated(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("read_id", "contig", "strand", "start").agg(F.bit_or("proof_mask").alias("proof_mask"))
 
 
+def placement_masks(placements: DataFrame, candidates: DataFrame, reach: int = MAX_EDITS) -> DataFrame:
+    """``placements`` with the joined proofs of the candidates that start within ``reach`` of them.
+
+    An equi-join on read, contig and strand; a read's few candidates meet its few placements.
+    """
+    c = candidates.select("read_id", "contig", "strand", F.col("start").alias("_s"), F.col("proof_mask").alias("_m"))
+    near = F.when(F.abs(F.col("_s") - F.col("start")) <= reach, F.col("_m")).otherwise(F.lit(0))
+    keys = placements.columns
+    return placements.join(c, ["read_id", "contig", "strand"], "left").groupBy(*keys).agg(F.bit_or(F.coalesce(near, F.lit(0)).cast("bigint")).alias("proof_mask"))
+
+
 def ungapped_distance(window: Column, read: Column) -> Column:
     """Bisulfite mismatches of a read against as many reference bases of its strand."""
     at = lambda s, i: F.substring(s, i, F.lit(1))

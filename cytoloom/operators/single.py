@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import mapq
 from ..functions.chem import converted, reverse_complement
-from ..functions.kernels import flexible_udf
+from ..functions.kernels import affine_udf, flexible_udf
 from . import alignment as al
 
 COMPLEMENTARY = {"OT": "CTOT", "OB": "CTOB"}
@@ -105,3 +105,56 @@ def map_reads(reads: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS, n
     e = e.withColumn("mapq", F.when(F.col("status") == "unique", mapq.single()).otherwise(0))
     e = e.select("read_id", "status", "mapq", "contig", "strand", "start", "end", "reverse", "distance", "second", "best_origins", "rounds")
     return reads.select("read_id").join(e, "read_id", "left").withColumn("status", F.coalesce("status", F.lit("unmapped"))).withColumn("mapq", F.coalesce("mapq", F.lit(0)))
+
+
+def affine_reranked(mapped: DataFrame, found: DataFrame, reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Ambiguous reads with 2 to 15 tied origins, settled where one origin's affine score leads by enough.
+
+    ``found`` has the placements in text coordinates, ``mapped`` the reads' results; a settled read
+    becomes unique with the quality of an affine decision and takes that placement.
+    """
+    tied = mapped.where((F.col("status") == "ambiguous") & F.col("best_origins").between(2, mapq.AFFINE_ORIGINS)).select("read_id", F.col("distance").alias("_d"))
+    texts = al.genome_text(contigs).select("contig", "strand", "bases")
+    rows = found.join(tied, "read_id").where(F.col("distance") == F.col("_d")).join(reads.select("read_id", "seq"), "read_id").join(texts, ["contig", "strand"])
+    window = F.substring("bases", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    rows = rows.withColumn("score", affine_udf(window, F.col("seq"), F.lit(False)))
+    per = rows.groupBy("read_id").agg(F.slice(F.sort_array(F.collect_list("score"), False), 1, 2).alias("two"), F.max_by(F.struct("contig", "strand", "start", "end"), "score").alias("_p"))
+    first, second = F.try_element_at("two", F.lit(1)), F.try_element_at("two", F.lit(2))
+    sure = per.where(mapq.affine_unique(F.lit(True), first, second).isNotNull()).select("read_id", "_p")
+    placed = forward(sure.select("read_id", "_p.*"), contigs).select("read_id", *[F.col(c).alias(f"_{c}") for c in ("contig", "strand", "start", "end", "reverse")])
+    out = mapped.join(placed, "read_id", "left")
+    won = F.col("_contig").isNotNull()
+    pick = {c: F.when(won, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("contig", "strand", "start", "end", "reverse")}
+    pick |= {"status": F.when(won, "unique").otherwise(F.col("status")), "mapq": F.when(won, mapq.AFFINE_MAPQ).otherwise(F.col("mapq"))}
+    return out.withColumns(pick).select(*mapped.columns)
+
+
+#: Bases a trimmed read must keep, and those a second, shorter search leaves out.
+RETAINED, STABILITY = 50, 8
+
+
+def with_adapter(mapped: DataFrame, reads: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS, adapter: str = "AGATCGGAAGAGC", seed: int = 0) -> DataFrame:
+    """Results after another look at reads that end in an adapter.
+
+    The trimmed read is mapped again, and once more without its last bases; both must be unique at one
+    origin. A read that was mapped keeps its status and quality and only takes the trimmed end, if the
+    origin agrees; one that was not is adopted with a capped quality. Adds ``retained``.
+    """
+    cut = reads.withColumn("_at", al.adapter_start(F.col("seq"), adapter)).where(F.col("_at") >= RETAINED)
+    trimmed = cut.select("read_id", F.substring("seq", F.lit(1), F.col("_at")).alias("seq"))
+    shorter = cut.where(F.col("_at") >= RETAINED + STABILITY).select("read_id", F.substring("seq", F.lit(1), F.col("_at") - STABILITY).alias("seq"))
+    names = ("status", "mapq", "contig", "strand", "start", "end", "reverse", "distance")
+    one = map_reads(trimmed, contigs, edits, seed=seed).select("read_id", *[F.col(c).alias(f"t_{c}") for c in names])
+    two = map_reads(shorter, contigs, edits, seed=seed).select("read_id", *[F.col(c).alias(f"s_{c}") for c in names])
+    both = one.join(two, "read_id", "left").join(cut.select("read_id", "_at"), "read_id")
+    five = lambda p: F.when(F.col(f"{p}reverse"), F.col(f"{p}end") - 1).otherwise(F.col(f"{p}start"))
+    same = lambda p, q: (F.col(f"{p}contig") == F.col(f"{q}contig")) & (F.col(f"{p}strand") == F.col(f"{q}strand")) & (five(p) == five(q))
+    stable = F.coalesce((F.col("t_status") == "unique") & (F.col("s_status") == "unique") & same("t_", "s_"), F.lit(False))
+    both = both.withColumn("_ok", stable)
+    out = mapped.join(both, "read_id", "left")
+    adopt = F.coalesce((F.col("status") == "unmapped") & (F.col("t_status") != "unmapped"), F.lit(False))
+    shorten = F.coalesce((F.col("status") != "unmapped") & F.col("_ok") & same("", "t_"), F.lit(False))
+    pick = {c: F.when(adopt | shorten, F.col(f"t_{c}")).otherwise(F.col(c)) for c in ("contig", "strand", "start", "end", "reverse", "distance")}
+    pick["status"] = F.when(adopt, F.when(F.col("_ok"), "unique").otherwise("ambiguous")).otherwise(F.col("status"))
+    pick["mapq"] = F.when(adopt, mapq.adapter_consensus(F.col("_ok"), F.col("t_mapq"), F.col("s_mapq"))).otherwise(F.col("mapq"))
+    return out.withColumns(pick).withColumn("retained", F.when(adopt | shorten, F.col("_at"))).select(*mapped.columns, "retained")

@@ -492,6 +492,24 @@ def candidate_dedup_masks(spark, d):
     return alignment.deduplicated(rows)
 
 
+@query(f"""with {_ORIGINS}, cd as (select read_id, contig, strand, start, bit_or(1 << net_gap * 3 + distance) as m from pl group by read_id, contig, strand, start), ps as (select distinct read_id, contig, strand, start + 3 as start from pl where distance = 0)
+select p.read_id, p.contig, p.strand, p.start, cast(bit_or(case when abs(c.start - p.start) <= 5 then c.m else 0 end) as bigint) as proof_mask from ps p left join cd c on p.read_id = c.read_id and p.contig = c.contig and p.strand = c.strand group by p.read_id, p.contig, p.strand, p.start""")
+def placement_proof_masks(spark, d):
+    rows = _origins(spark, d).withColumn("proof_mask", F.expr("shiftleft(1, net_gap * 3 + distance)"))
+    placed = rows.where("distance = 0").select("read_id", "contig", "strand", (F.col("start") + 3).alias("start")).distinct()
+    return alignment.placement_masks(placed, alignment.deduplicated(rows))
+
+
+@query(f"""with {KMER_SQL}, w as (select v.read_id, v.contig, v.strand, v.start, replace(r.seq, 'C', 'T') as s, replace(substr(t.bases, cast(v.start + 1 as int), length(r.seq)), 'C', 'T') as w, length(r.seq) // 8 as k from vote v join reads r using (read_id) join texts t on t.contig = v.contig and t.strand = v.strand),
+b as (select *, cast(unnest(range(0, 8)) as int) as b from w), x as (select *, cast(unnest(range(-3, 4)) as int) as x from b), h as (select read_id, contig, strand, start, b, max(case when b * k + x >= 0 and substr(w, cast(b * k + x + 1 as int), cast(k as int)) = substr(s, cast(b * k + 1 as int), cast(k as int)) then 1 else 0 end) as hit from x group by all)
+select read_id, contig, strand, start, sum(hit) >= 5 as kept from h group by read_id, contig, strand, start""")
+def local_block_filter(spark, d):
+    texts = alignment.genome_text(v.contigs(spark, d)).select("contig", "strand", "bases")
+    rows = _votes(spark, d).join(v.reads(spark, d), "read_id").join(texts, ["contig", "strand"])
+    window = F.substring("bases", (F.col("start") + 1).cast("int"), F.length("seq"))
+    return rows.select("read_id", "contig", "strand", "start", alignment.block_filter(window, F.col("seq")).alias("kept"))
+
+
 @query("""with b as (select l_orderkey as read_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as int) as block, cast(l_quantity as bigint) % 23 as hits from lineitem),
 r as (select *, sum(hits) over (partition by read_id order by case when hits = 0 then 1 else 0 end, hits, block rows between unbounded preceding and current row) as s from b)
 select read_id, block, hits, cast(s as bigint) as running, s <= 30 as kept from r""")

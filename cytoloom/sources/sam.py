@@ -48,11 +48,21 @@ def sample_name(head: DataFrame, path: str, explicit: str | None = None) -> str:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Records with 0-based positions, ``tags`` as a map, ``rg`` and ``xg``; splits read in parallel."""
-    rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
+    # Spark may judge conditions on fields before the one on the line's kind, so fields are read leniently
+    # and a bad record raises by itself
+    is_record = ~F.col("value").startswith("@") & (F.col("value") != "")
     f = F.split("value", "\t", -1)
+    whole = lambda k: F.get(f, F.lit(k)).try_cast("bigint")
+    numbers = whole(1)
+    for k in (3, 4, 7, 8):
+        numbers = numbers + whole(k)
+    bad = is_record & ((F.size(f) < 11) | numbers.isNull())
+    rows = spark.read.text(path).where(is_record)
+    rows = rows.where(F.when(bad, F.raise_error(F.concat(F.lit("not a SAM record: "), F.substring("value", 1, 80))).cast("boolean")).otherwise(True))
     tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 6, 1 << 20))))
-    out = rows.where(F.when(F.size(f) < 11, F.raise_error(F.lit("a record has fewer than eleven fields")).cast("boolean")).otherwise(True)).select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), (f[3].cast("bigint") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), f[6].alias("rnext"), (f[7].cast("bigint") - 1).alias("pnext"), f[8].cast("bigint").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"), F.when(~F.col("value").startswith("@"), tags).alias("tags")
+    text = lambda k, name: F.get(f, F.lit(k)).alias(name)
+    out = rows.select(
+        text(0, "qname"), whole(1).cast("int").alias("flag"), text(2, "rname"), (whole(3) - 1).alias("pos"), whole(4).cast("int").alias("mapq"), text(5, "cigar"), text(6, "rnext"), (whole(7) - 1).alias("pnext"), whole(8).alias("tlen"), text(9, "seq"), text(10, "qual"), F.when(is_record, tags).alias("tags")
     )
     return out.withColumn("rg", F.try_element_at("tags", F.lit("RG"))).withColumn("xg", F.try_element_at("tags", F.lit("XG")))
 

@@ -148,3 +148,23 @@ def test_index_round_trip(spark, world, tmp_path):
     api.index(spark, str(folder / "ref.fa"), str(tmp_path / "idx"))
     contigs, seeds = api.load_index(spark, str(tmp_path / "idx"))
     assert contigs.count() == 2 and seeds.count() > 1000
+
+
+def test_adapters_and_affine_ranks(spark):
+    from cytoloom.operators import single
+
+    rng = random.Random(9)
+    genome = "".join(rng.choices("ACGT", k=400))
+    # two places that differ by a gap against a mismatch from one read
+    twin = "".join(rng.choices("AGT", k=60))
+    genome = genome[:100] + twin + genome[100:250] + twin[:30] + "A" + twin[30:] + genome[250:]
+    contigs = spark.createDataFrame([("g", genome)], "contig string, seq string")
+    tail = "AGATCGGAAGAGC"
+    reads = spark.createDataFrame([(1, genome[10:80].replace("C", "T") + tail[:9]), (2, genome[300:370].replace("C", "T")), (3, "".join(rng.choices("AGT", k=70)) + tail)], "read_id bigint, seq string")
+    strict = single.map_reads(reads, contigs)
+    done = {r.read_id: r for r in single.with_adapter(strict, reads, contigs).collect()}
+    assert done[1].status == "unique" and (done[1].start, done[1].end, done[1].retained) == (10, 80, 70) and done[1].mapq <= 20
+    assert done[2].retained is None and done[2].start == 300 and done[3].status == "unmapped"
+    found = single.placements(reads, contigs)
+    same = single.affine_reranked(strict, found, reads, contigs).collect()
+    assert sorted(map(str, same)) == sorted(map(str, strict.collect()))
