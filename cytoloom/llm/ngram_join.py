@@ -6,10 +6,11 @@ hash; any total order keeps the filter exact). Two sets at or over the threshold
 among the first few of either (*prefix filter*), so classes meet only on prefix n-grams; pairs must
 also pass the *length*, *positional* and *suffix* filters, and are then verified once on whole sets.
 
-Groups do not need all pairs. In each round every prefix n-gram compares its members with one centre
-(first the member that shares most, later a pseudo-random one); verified links are joined to components,
-and pairs inside one component need no more comparison. When the pairs still open between components
-are about as few as the rows that hold them, they are all compared, which makes the result exact.
+Groups do not need all pairs. Before any token is compared, classes that share a min-hash are compared
+with one of them; then, in each round, every prefix n-gram compares its members with one centre (first
+the member that shares most, later a pseudo-random one). Verified links are joined to components, and
+pairs inside one component need no more comparison. As soon as the pairs still open between components
+are few for the size of the input, they are all compared, which makes the result exact.
 
 Defined results: a null or wordless text has an empty set and links with nothing; fewer words than n
 make one n-gram of the whole sequence; equal documents are one class, so ties cost nothing; null ids are
@@ -37,11 +38,15 @@ CACHED_WORDS = 400_000
 SKETCH_BITS, RANGES = 20, 256
 #: A token at over so many times the mean of the sketch's cells, and this count, is compared without
 #: first being gathered in one task.
-HEAVY_TIMES, HEAVY_LEAST = 8, 2_000
-#: Rounds with one centre a token before all open pairs are compared in any case.
-ROUNDS = 6
-#: Ids up to this number are broadcast when sets are fetched.
-BROADCAST_IDS = 1_000_000
+HEAVY_TIMES, HEAVY_LEAST, HEAVY_SPREAD = 8, 2_000, 64
+#: Min-hashes by which near copies meet before any token is compared.
+MARKS = 3
+#: All open pairs are put to the filters at once if they are at most so many a row; after a round with one
+#: centre a token, if they are at most so many a class (a filter takes far less time than a class's
+#: shingles do); and after so many rounds in any case.
+PAIRS_A_ROW, PAIRS_A_CLASS, ROUNDS = 4, 1000, 6
+#: Ids, and pairs, up to these numbers are broadcast; more are joined by shuffle.
+BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 50_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], np.uint64)
 
@@ -96,8 +101,8 @@ def _class(h: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(docs: DataFrame, shape: Shape) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, c1, c2, ranges) of each document, and the sketch of all n-gram occurrences."""
-    names = ["id", "n", "c1", "c2", "ranges", "sketch"]
+    """(id, n, c1, c2, ranges, marks) of each document, and the sketch of all n-gram occurrences."""
+    names = ["id", "n", "c1", "c2", "ranges", "marks", "sketch"]
     id_type = docs.schema["id"].dataType.simpleString()
     arrow_id = None
 
@@ -107,7 +112,7 @@ def _signatures(docs: DataFrame, shape: Shape) -> tuple[DataFrame, np.ndarray]:
         any_row = False
         for part in slices(batches, 1):
             any_row, arrow_id = True, part.column(0).type
-            n, c1, c2, ranges, hs = [], [], [], [], []
+            n, c1, c2, ranges, marks, hs = [], [], [], [], [], []
             for t in part.column(1).to_pylist():
                 h = shingles(t, shape.words)
                 a, b = _class(h) if len(h) else (None, None)
@@ -115,15 +120,16 @@ def _signatures(docs: DataFrame, shape: Shape) -> tuple[DataFrame, np.ndarray]:
                 c1.append(a)
                 c2.append(b)
                 ranges.append(np.minimum(np.bincount((h & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes() if len(h) else None)
+                marks.append([int((h * f).min()) - (1 << 63) for f in _MIX[:MARKS]] if len(h) else None)
                 hs.append(h)
             cells = np.bincount(_cells(np.concatenate(hs)), minlength=len(counts))
             counts += cells.astype(np.uint32)
             rows = len(n)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(ranges, pa.binary()), pa.nulls(rows, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(ranges, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.nulls(rows, pa.binary())], names=names)
         if any_row:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow_id), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow_id), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
-    both = stored(docs.select("id", "text").mapInArrow(run, f"id {id_type}, n bigint, c1 bigint, c2 bigint, ranges binary, sketch binary"), "ngram-sets")
+    both = stored(docs.select("id", "text").mapInArrow(run, f"id {id_type}, n bigint, c1 bigint, c2 bigint, ranges binary, marks array<bigint>, sketch binary"), "ngram-sets")
     return both.where("sketch is null").drop("sketch"), _merged(both.where("sketch is not null").select("sketch"))
 
 
@@ -142,7 +148,7 @@ def _merged(parts: DataFrame) -> np.ndarray:
     left = parts.count()
     while left > 1:
         to = -(-left // 16)
-        parts = stored(parts.repartition(to).mapInArrow(run, "sketch binary"), "ngram-sketch")
+        parts = stored(parts.coalesce(to).mapInArrow(run, "sketch binary"), "ngram-sketch")
         left = parts.count()
     row = parts.first()
     return np.frombuffer(zlib.decompress(row[0]), np.uint32) if row else np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -185,7 +191,8 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, shape: Shape) -> DataFrame:
 def _shared_tokens(rows: DataFrame) -> DataFrame:
     """The rows whose token occurs in more than one class, each once.
 
-    Light tokens are gathered by a shuffle and read as a sorted stream; heavy ones pass as they are.
+    Tokens are gathered by a shuffle and read as a sorted stream; heavy ones, dealt over several tasks,
+    pass as they are.
     """
 
     def run(batches):
@@ -204,18 +211,19 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
             yield from keep(held, *(held.column(i).to_numpy() for i in range(3)))
 
     def keep(batch, tok, c1, c2):
-        if len(tok) < 2:
+        if not len(tok):
             return
         new_tok = np.append(True, tok[1:] != tok[:-1])
         fresh = new_tok | np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]))
         group = np.cumsum(new_tok) - 1
-        many = np.bincount(group, fresh)[group] > 1
-        yield batch.filter(pa.array(fresh & many))
+        many = (np.bincount(group, fresh)[group] > 1) | batch.column(5).to_numpy(zero_copy_only=False)
+        batch = batch.filter(pa.array(fresh & many))
+        yield pa.RecordBatch.from_arrays(batch.columns[:5], names=["tok", "c1", "c2", "n", "pos"])
 
-    light = rows.where("not heavy").drop("heavy").repartition("tok").sortWithinPartitions("tok", "c1", "c2")
-    ddl = "tok bigint, c1 bigint, c2 bigint, n int, pos int"
-    heavy = rows.where("heavy").drop("heavy").distinct()
-    return light.mapInArrow(run, ddl).unionByName(heavy)
+    # a heavy token is dealt over many tasks by its classes, and its rows are kept without a look at the others
+    salt = F.when(F.col("heavy"), F.pmod("c1", F.lit(HEAVY_SPREAD))).otherwise(F.lit(0))
+    dealt = rows.withColumn("salt", salt).repartition("tok", "salt").sortWithinPartitions("tok", "c1", "c2").drop("salt")
+    return dealt.mapInArrow(run, "tok bigint, c1 bigint, c2 bigint, n int, pos int")
 
 
 def _pair(a: str, b: str):
@@ -232,7 +240,9 @@ def _filters(shape: Shape, a: str, b: str) -> str:
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     """Pairs whose sets could still overlap enough, judged by how many tokens fall in each hash range."""
     side = lambda s: classes.select(F.col("c").alias(s), F.col("ranges").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("id").alias(f"id{s}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "ida", "idb")
+    # each pair meets one row of either side, so one check of size holds for both joins
+    few = F.broadcast if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else lambda x: x
+    wide = few(few(pairs).join(side("a"), "a")).join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "ida", "idb")
     at = wide.columns.index("ra")
 
     def run(batches):
@@ -265,7 +275,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
     # an id may name several rows; one row a class is enough
     sets = stored(sets, "ngram-fetched").dropDuplicates(["c"])
     side = lambda s: sets.select(F.col("c").alias(s), F.col("hashes").alias(f"h{s}"))
-    wide = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb")
+    wide = size_checked(pairs.select("a", "b"), BROADCAST_PAIRS).join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb")
 
     def run(batches):
         for part in slices(batches, 2):
@@ -283,49 +293,69 @@ def _verified(pairs: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
     return wide.mapInArrow(run, pair)
 
 
+def _centred(rows: DataFrame, keys: list[str], order, condition: str) -> DataFrame:
+    """Pairs (a, b) of each member of a key's group with the group's centre; groups of one give none."""
+    centre = rows.groupBy(*keys).agg(F.max_by(F.struct("c", "n", "pos", "label"), order).alias("s"), F.count("*").alias("m")).where("m > 1").select(*keys, "s.*")
+    same = " and ".join(f"x.{k} = y.{k}" for k in keys)
+    ab = rows.alias("x").join(centre.alias("y"), F.expr(f"{same} and x.c != y.c and x.label != y.label and {condition}"))
+    return ab.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+
+
 def links(docs: DataFrame, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame]:
     """From (id, text): the signatures (id, n, c1, c2) and the component label of every linked class.
 
     Labels are classes (structs of c1, c2); classes without a link to another have no row.
     """
     sigs, sketch = _signatures(docs, shape)
-    shared = stored(_shared_tokens(_prefixes(docs, sketch, shape)), "ngram-tokens").withColumn("c", _pair("c1", "c2")).drop("c1", "c2")
-    classes = sigs.where("n > 0").withColumn("c", _pair("c1", "c2")).groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+    classes = sigs.where("n > 0").withColumn("c", _pair("c1", "c2")).groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.first("marks").alias("marks"))
     # a null id can't be fetched by a join, so classes of null ids alone get no links with others
-    degree = shared.groupBy("c").agg(F.count("*").alias("deg"))
-    classes = stored(classes.join(degree, "c"), "ngram-classes")
-    now = stored(shared.join(classes.select("c", "deg"), "c").withColumn("label", F.col("c")), "ngram-open")
-    edges, tried = None, None
+    classes = stored(classes, "ngram-classes")
+    n_classes = classes.count()
+    edges = tried = None
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal edges, tried
+        pairs = stored(pairs if tried is None else pairs.join(size_checked(tried, BROADCAST_IDS), ["a", "b"], "left_anti"), "ngram-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = stored(_verified(stored(_suffix_filter(pairs, classes, shape), "ngram-close"), docs, shape), "ngram-links")
+        edges = found if edges is None else edges.unionByName(found)
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        new = size_checked(labels.select(F.col("node").alias("c"), "label"), BROADCAST_IDS)
+        return rows.drop("label").join(new, "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+    # near copies of one text mostly share a min-hash: a row a class and mark joins most of them
+    marks = classes.select("c", "n", F.lit(0).alias("pos"), F.posexplode("marks").alias("j", "mark"), F.col("c").alias("label"))
+    verify(_centred(marks, ["j", "mark"], F.xxhash64("c"), f"100L * least(x.n, y.n) >= {shape.percent}L * greatest(x.n, y.n)"))
+    labels = stored(components(edges), "ngram-labels")
+
+    now = _shared_tokens(_prefixes(docs, sketch, shape)).withColumn("c", _pair("c1", "c2")).drop("c1", "c2")
+    now = stored(labelled(now, labels), "ngram-open")
     for k in range(ROUNDS + 1):
-        # tokens all of whose classes are in one component are done
-        per = now.groupBy("tok", "label").agg(F.count("*").alias("m"), F.max("deg").alias("deg"))
-        tokens = per.groupBy("tok").agg(F.count("*").alias("labels"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm")).where("labels > 1")
-        tokens = stored(tokens, "ngram-spans")
-        size = tokens.agg(F.sum("m").alias("rows"), F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("pairs")).first()
+        # tokens all of whose classes are in one component are done; one exchange serves both uses of rows
+        rows = now.repartition("tok")
+        per = rows.groupBy("tok", "label").agg(F.count("*").alias("k")).groupBy("tok").agg(F.count("*").alias("labels"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("mm"))
+        now = stored(rows.join(per.where("labels > 1").drop("labels"), "tok"), "ngram-open")
+        # a token's open pairs, shared out over its rows
+        size = now.agg(F.count("*").alias("rows"), F.sum((F.col("m") - F.col("mm") / F.col("m")) / 2).alias("pairs")).first()
+        now = now.drop("m", "mm")
         if not size["rows"]:
             break
-        now = now.join(tokens.select("tok"), "tok", "left_semi")
-        everything = k == ROUNDS or size["pairs"] <= 2 * size["rows"]
+        everything = k == ROUNDS or size["pairs"] <= (PAIRS_A_ROW * size["rows"] if k == 0 else PAIRS_A_CLASS * n_classes)
         if everything:
             ab = now.alias("x").join(now.alias("y"), F.expr(f"x.tok = y.tok and x.c < y.c and x.label != y.label and {_filters(shape, 'x', 'y')}"))
+            verify(ab.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
         else:
-            order = F.struct(F.col("deg"), F.xxhash64("c")) if k == 0 else F.struct(F.xxhash64("c", F.lit(k)), F.col("deg"))
-            centre = now.groupBy("tok").agg(F.max_by(F.struct("c", "n", "pos", "label"), order).alias("s")).select("tok", "s.*")
-            ab = now.alias("x").join(centre.alias("y"), F.expr(f"x.tok = y.tok and x.c != y.c and x.label != y.label and {_filters(shape, 'x', 'y')}"))
-        pairs = ab.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "ngram-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        close = stored(_suffix_filter(pairs, classes, shape), "ngram-close")
-        found = stored(_verified(close, docs, shape), "ngram-links")
-        edges = found if edges is None else edges.unionByName(found)
+            if k == 0:
+                now = now.join(now.groupBy("c").agg(F.count("*").alias("shared")), "c")
+            # an original shares more tokens than its changed copies do, so it is a good first centre
+            order = F.struct("shared", F.xxhash64("c")) if k == 0 else F.xxhash64("c", F.lit(k))
+            verify(_centred(now, ["tok"], order, _filters(shape, "x", "y")))
+        labels = stored(components(edges), "ngram-labels")
         if everything:
             break
-        labels = components(edges)
-        now = stored(now.drop("label").join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c")).select("tok", "c", "n", "pos", "deg", "label"), "ngram-open")
-    labels = components(edges) if edges is not None else None
-    return sigs.drop("ranges"), labels
+        now = labelled(now, labels)
+    return sigs.drop("ranges", "marks"), labels
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shape: Shape = Shape()) -> DataFrame:
@@ -334,17 +364,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shape: S
     sigs, labels = links(rows, shape)
     sigs = sigs.withColumn("c", F.when(F.col("n") > 0, _pair("c1", "c2"))).drop("c1", "c2")
     per_class = sigs.where("n > 0").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("m"))
-    if labels is None:
-        per_class = per_class.withColumn("label", F.col("c"))
-    else:
-        per_class = per_class.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    per_class = per_class.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     per_class = stored(per_class, "ngram-least")
     least = per_class.groupBy("label").agg(F.min("least").alias("component"), F.sum("m").alias("docs")).where("docs > 1")
-    many = per_class.join(least, "label").select("c", "component")
-    # a class may hold a third of all rows: the few rows that name its component meet it in 16 places
-    spread = 16
-    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    out = sigs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")).join(many, ["c", "salt"], "left")
+    many = stored(per_class.join(least, "label").select("c", "component"), "ngram-many")
+    if many.count() <= BROADCAST_IDS // 4:
+        out = sigs.join(F.broadcast(many), "c", "left")
+    else:
+        # a class may hold a third of all rows: the few rows that name its component meet it in 16 places
+        spread = 16
+        many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        out = sigs.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")).join(many, ["c", "salt"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
