@@ -102,14 +102,15 @@ class Novelty:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int]]:
     """Incompressible tokens near a sensitive word that no base span touches."""
-    out, after = [], -1
+    out, after = [], 0
     for cue in _SENSITIVE.finditer(text):
-        for m in _TOKEN.finditer(text, max(after, cue.end()), min(len(text), cue.end() + REACH + 4096)):
-            if m.start() > cue.end() + REACH:
-                break
-            s, e = m.span()
+        last = cue.end() + REACH
+        after = max(after, cue.end())
+        # a token starts within reach but ends wherever it ends
+        while found := _TOKEN.search(text, after, min(len(text), last + 16)):
+            s, e = _TOKEN.match(text, found.start()).span()
             after = e
-            token = m.group().rstrip(".-=")
+            token = text[s:e].rstrip(".-=")
             if len(token) < 16 or any(bs < e and s < be for _, bs, be in base) or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
                 continue
             e = s + len(token)
@@ -152,23 +153,29 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None, conte
     """
     content = dictionary(docs, text) if content is None else content
     spans = _spanned(content)
-    names, schema = docs.columns, docs.schema
+    at, size_at = docs.columns.index(text), docs.columns.index(length) if length else None
 
-    def run(cols):
-        texts = []
-        for t in cols[text]:
-            at, out = 0, []
-            for _, s, e in spans(t or ""):
-                if s >= at:
-                    out += [t[at:s], "<SECRET>"]
-                at = max(at, e)
-            texts.append("".join(out) + t[at:] if out else t)
-        new = dict(cols) | {text: texts}
-        if length:
-            new[length] = [n if new_t == old or new_t is None else len(new_t) for n, new_t, old in zip(cols[length], texts, cols[text])]
-        return new
-
-    return map_slices(docs.select(*names), run, schema, text)
+    def clean(t: str | None) -> str | None:
+        end, out = 0, []
+        for _, s, e in spans(t or ""):
+            if s >= end:
+                out += [t[end:s], "<SECRET>"]
+            end = max(end, e)
+        return "".join(out) + t[end:] if out else t
+
+    def run(batches):
+        # all other columns pass as they are
+        for part in slices(batches, at):
+            columns = list(part.columns)
+            old = columns[at].to_pylist()
+            new = [clean(t) for t in old]
+            columns[at] = pa.array(new, columns[at].type)
+            if size_at is not None:
+                sizes = [n if a == b else len(b) for n, a, b in zip(columns[size_at].to_pylist(), old, new)]
+                columns[size_at] = pa.array(sizes, columns[size_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,8 @@ def test_novel_tokens_only_in_sensitive_context():
     novelty = secrets.Novelty(b"the and configuration_value password=secret")
     random_token = "zX8qLw3TgP0vB7nRk5Yd2"
     assert secrets.novel_spans(f"Authorization: Bearer {random_token} end", [], novelty)
+    many = "".join(random.Random(1).choices("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789", k=9000))
+    assert secrets.novel_spans(f"secret key is {many} end", [], novelty) == [(14, 9014)]
     assert not secrets.novel_spans(f"build id {random_token} end", [], novelty)
     assert not secrets.novel_spans("token configuration_value_1configuration_value_1 end", [], novelty)
 
