@@ -397,3 +397,24 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shape:
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+with recursive w as materialized (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as materialized (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end)) as g from w
+), n as materialized (
+  select doc_id, count(*) as n from s group by doc_id
+), p as materialized (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), e as materialized (
+  select p.x, p.y from p join n a on p.x = a.doc_id join n b on p.y = b.doc_id where 100 * c >= 85 * (a.n + b.n - c)
+), u as materialized (
+  select x, y from e union all select y, x from e
+), r as (
+  select doc_id, doc_id as m from documents union select u.y, r.m from r join u on r.doc_id = u.x
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from documents d left join n on d.doc_id = n.doc_id join (select doc_id, min(m) as component_id from r group by doc_id) c on d.doc_id = c.doc_id
+"""
