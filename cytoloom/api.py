@@ -13,7 +13,7 @@ from .functions.chem import reverse_complement
 from .operators import alignment as al
 from .operators import combine as combining
 from .operators import intervals, joint, methylation, paired, single, snp
-from .operators.evidence import alignment_columns, collapse_overlaps, cytosine_strand, fragments, kept_records
+from .operators.evidence import alignment_columns, collapse_overlaps, cytosine_strand, fragments, kept_records, with_reference
 from .operators.records import described
 from .sinks.files import distinct_paths, matrix_paths, publish, tabbed, write_text
 from .sources import fasta, fastq, sam, sites
@@ -35,13 +35,15 @@ def observations(spark: SparkSession, input: str, reference: str, regions=(), re
         fasta.check_identity(contigs, sam.dictionary(head))
         records = sam.records(spark, input)
     records = fragments(kept_records(records, ignore_orphans)).withColumn("strand", cytosine_strand(F.col("xg")))
-    columns = alignment_columns(records.select("fragment_id", "segment", "strand", F.col("rname").alias("contig"), "pos", F.col("mapq").alias("mapping_quality"), "cigar", "seq", "qual"))
+    records = with_reference(records.select("fragment_id", "segment", "strand", "rname", "pos", F.col("mapq").alias("mapping_quality"), "cigar", "seq", "qual"), contigs)
+    columns = alignment_columns(records.withColumnRenamed("rname", "contig").drop("piece")).where((F.col("position") >= F.col("window_start")) & (F.col("position") < F.col("window_end")))
     wanted = selection(spark, contigs, regions, regions_file)
     if wanted is not None:
         columns = intervals.clip(columns, wanted)
-    context, second = methylation.context_of(F.col("ref"), F.col("position"))
-    rows = columns.join(contigs.select("contig", F.col("seq").alias("ref")), "contig")
-    rows = rows.withColumn("reference_base", F.substring("ref", (F.col("position") + 1).cast("int"), F.lit(1))).withColumn("context", context).withColumn("second", second).drop("ref")
+    at = F.col("position") - F.col("window_start") + 2
+    context, second = methylation.context_of(F.col("window"), at)
+    rows = columns.withColumn("reference_base", F.substring("window", (at + 1).cast("int"), F.lit(1))).withColumn("context", context).withColumn("second", second)
+    rows = rows.drop("window", "window_start", "window_end", "pos")
     return rows, contigs, head
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chem import base_cost, converted, reverse_complement
+from .evidence import pieces
 
 # What a seed may hit.
 SEED, MOST_HITS, MOST_HITS_SENSITIVE, LEAST_BASES = 16, 1000, 4096, 16
@@ -28,12 +29,21 @@ def genome_text(contigs: DataFrame) -> DataFrame:
     return contigs.select("contig", F.explode(both).alias("t")).select("contig", "t.*")
 
 
-def kmers(texts: DataFrame, k: int, stride: int = 1) -> DataFrame:
-    """All k-mers without N as (its other columns, start, kmer); narrow, no shuffle."""
+#: Bases a piece of text that k-mers are taken from.
+PIECE = 4096
+
+
+def kmers(texts: DataFrame, k: int, stride: int = 1, piece: int = PIECE) -> DataFrame:
+    """All k-mers without N as (its other columns, start, kmer); narrow, no shuffle.
+
+    Long texts are cut into pieces first, as a k-mer far into a text costs a walk to its place.
+    """
     cols = [c for c in texts.columns if c not in ("text", "bases")]
-    fits = texts.where(F.length("text") >= k)
-    out = fits.select(*cols, "text", F.explode(F.sequence(F.lit(0), F.length("text") - k, F.lit(stride))).alias("start"))
-    out = out.select(*cols, "start", F.substring(F.col("text"), F.col("start") + 1, F.lit(k)).alias("kmer"))
+    size = piece - piece % stride
+    part = F.explode(pieces(F.col("text"), size, 0, k - 1)).alias("_p")
+    parts = texts.select(*cols, part).select(*cols, (F.col("_p.piece") * size).alias("_at"), F.rtrim(F.col("_p.bases"), F.lit(".")).alias("_t")).where(F.length("_t") >= k)
+    out = parts.select(*cols, "_at", "_t", F.explode(F.sequence(F.lit(0), F.length("_t") - k, F.lit(stride))).alias("_i"))
+    out = out.select(*cols, (F.col("_at") + F.col("_i")).cast("int").alias("start"), F.substring(F.col("_t"), F.col("_i") + 1, F.lit(k)).alias("kmer"))
     return out.where(~F.col("kmer").contains("N"))
 
 

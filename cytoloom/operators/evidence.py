@@ -94,6 +94,41 @@ def alignment_columns(records: DataFrame) -> DataFrame:
     return at.select(*cols, (F.col("pos") + F.col("run.r") + F.col("i")).alias("position"), F.when(present, F.upper(F.substring(F.col("seq"), q, 1))).alias("query_base"), F.when(present & (F.col("qual") != "*"), quality).cast("int").alias("base_quality"))
 
 
+#: Bases a piece of the reference that reads are joined with.
+PIECE = 1 << 14
+
+
+def pieces(text: Column, size: int, before: int, after: int) -> Column:
+    """array<struct<piece,bases>>: a text cut every ``size`` letters, each piece with some of its neighbours'
+    letters, and dots where it has none. One pass over the text: taking each piece by its place would
+    walk a chromosome from its start every time."""
+    cut = F.regexp_extract_all(text, F.lit(f".{{1,{size}}}"), F.lit(0))
+
+    def one(parts, x, i):
+        left = F.lpad(F.right(F.coalesce(F.get(parts, i - 1), F.lit("")), F.lit(before)), before, ".") if before else F.lit("")
+        right = F.rpad(F.left(F.coalesce(F.get(parts, i + 1), F.lit("")), F.lit(after)), after, ".") if after else F.lit("")
+        return F.struct(i.cast("bigint").alias("piece"), F.concat(left, x, right).alias("bases"))
+
+    # the outer transform binds the parts once
+    return F.transform(F.array(cut), lambda parts: F.transform(parts, lambda x, i: one(parts, x, i)))[0]
+
+
+def with_reference(records: DataFrame, contigs: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``records`` with ``window``, the reference bases they cover and two more on each side, and
+    ``window_start``; a record that crosses a border of pieces gives a row for each, with ``piece``.
+
+    The join is on contig and piece, and only the read's own window stays, so no row carries a contig.
+    """
+    parts = contigs.select(F.col("contig").alias("rname"), F.explode(pieces(F.col("seq"), piece, 2, 2)).alias("_p")).select("rname", "_p.piece", F.col("_p.bases").alias("_f"))
+    end = F.col("pos") + reference_span(cigar_runs(F.col("cigar")))
+    number = lambda x: F.floor(x / piece)
+    rows = records.withColumn("_end", end).withColumn("piece", F.explode(F.sequence(number(F.col("pos")), F.greatest(number(F.col("_end") - 1), number(F.col("pos"))))))
+    start, stop = F.greatest(F.col("pos"), F.col("piece") * piece), F.least(F.col("_end"), (F.col("piece") + 1) * piece)
+    rows = rows.join(parts, ["rname", "piece"])
+    window = F.substring("_f", (start - F.col("piece") * piece + 1).cast("int"), (stop - start + 4).cast("int"))
+    return rows.withColumn("window_start", start).withColumn("window", window).withColumn("window_end", stop).drop("_f", "_end")
+
+
 def fragments(records: DataFrame) -> DataFrame:
     """``records`` with ``fragment_id``, equal for two mates that overlap on the reference and else the
     read's own.

@@ -30,18 +30,27 @@ class MethylationOptions:
             raise ConfigurationError("the least depth is at least 1")
 
 
-def with_context(ref: DataFrame, contig: str = "contig", position: str = "position", base: str = "base") -> DataFrame:
+#: Bases a window partition of the reference, so that no task has to hold a chromosome.
+SPAN = 1 << 16
+
+
+def with_context(ref: DataFrame, contig: str = "contig", position: str = "position", base: str = "base", span: int = SPAN) -> DataFrame:
     """Reference bases with ``context`` (class) and ``second`` (next base on the cytosine's strand) for
-    both strands' cytosines; others have none. One window over each contig's bases."""
-    w = Window.partitionBy(contig).orderBy(position)
+    both strands' cytosines; others have none. Positions of a contig must be without gaps.
+
+    Windows run over spans of the contig; the two bases beside a border are lent to the next span.
+    """
+    at = lambda k: F.floor((F.col(position) + k) / span)
+    lent = ref.withColumn("_span", F.explode(F.array_distinct(F.array(at(-2), at(0), at(2)))))
+    w = Window.partitionBy(contig, "_span").orderBy(position)
     left = [F.lag(base, k).over(w) for k in (1, 2)]
     right = [F.lead(base, k).over(w) for k in (1, 2)]
-    out = ref.withColumns({"_l1": left[0], "_l2": left[1], "_r1": right[0], "_r2": right[1]})
+    out = lent.withColumns({"_l1": left[0], "_l2": left[1], "_r1": right[0], "_r2": right[1]}).where(F.col("_span") == at(0))
     top = context_class(F.col("_r1"), F.col("_r2"))
     bottom = context_class(complement(F.col("_l1")), complement(F.col("_l2")))
     is_c, is_g = F.col(base) == "C", F.col(base) == "G"
     out = out.withColumn("context", F.when(is_c, top).when(is_g, bottom)).withColumn("second", F.when(is_c, F.col("_r1")).when(is_g, complement(F.col("_l1"))))
-    return out.drop("_l1", "_l2", "_r1", "_r2")
+    return out.drop("_l1", "_l2", "_r1", "_r2", "_span")
 
 
 def context_of(seq: Column, position: Column) -> tuple[Column, Column]:

@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InputError
+from .text import placed
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(contig, ordinal, seq, length, md5). Names are the header's first word, unique and not empty;
     sequences are upper-cased A, C, G, T, N over any number of lines; a blank line is an error."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    body = F.regexp_replace("value", "\n$", "")
-    parts = F.split(F.concat(F.lit("\n"), body), "\n>", -1)
-    rows = whole.select("file", F.posexplode(parts).alias("ordinal", "record"))
-    lead = rows.where((F.col("ordinal") == 0) & (F.col("record") != ""))
-    if lead.head(1):
+    # a record is what stands between two line beginnings with >, so a genome is read record by record
+    text = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "[\r\n]$", "")
+    raw = placed(spark, path, "\n>").select("file", "block", "id", text.alias("record"))
+    order = Window.partitionBy("file").orderBy("block", "id")
+    rows = raw.withColumn("ordinal", F.row_number().over(order) - 1)
+    first = rows.where("ordinal = 0").select("record").collect()  # a row a file
+    if any(not r.record.startswith(">") for r in first):
         raise InputError("the file does not begin with a header")
-    rows = rows.where("ordinal > 0").select("file", (F.col("ordinal") - 1).alias("ordinal"), F.split("record", "\n", 2).alias("p"))
+    rows = rows.withColumn("record", F.when(F.col("ordinal") == 0, F.substring("record", 2, 1 << 30)).otherwise(F.col("record")))
+    rows = rows.select("file", "ordinal", F.split("record", "\n", 2).alias("p"))
     header = F.col("p")[0]
     text = F.coalesce(F.try_element_at("p", F.lit(2)), F.lit(""))
     out = rows.select("file", F.split(header, r"\s")[0].alias("contig"), "ordinal", text.alias("text"), F.upper(F.replace(text, F.lit("\n"), F.lit(""))).alias("seq"))

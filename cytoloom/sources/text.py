@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InputError
 
 
+def placed(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, block, id, text): records with the file block they were read from and ids that rise within
+    it, so (block, id) is the file's order however its blocks were dealt to tasks."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    return reader.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of plain or gzip text; ``line`` counts from 0 and holds for one file.
+    """(file, line, text) of plain or gzip text; ``line`` counts from 0 within a file.
 
-    Line numbers need a file in one piece, so each file is one task here; what follows is parallel again
-    after the caller's repartition or shuffle.
+    Files are read in parallel blocks. A first pass counts each block's lines; their running sums, one
+    row a block, then place every line.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    rows = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return rows
+    raw = placed(spark, path)
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("id").alias("_first"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return raw.join(F.broadcast(blocks), ["file", "block"]).select("file", (F.col("_before") + F.col("id") - F.col("_first")).alias("line"), "text")
 
 
 def data_lines(spark: SparkSession, path: str) -> DataFrame:

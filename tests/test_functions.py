@@ -200,3 +200,40 @@ def test_single_quality_never_rises_with_less_evidence(spark):
         worse = (*key[:12], 0)
         if worse in got:
             assert got[worse] <= q
+
+
+def test_borders_of_pieces_and_spans_do_not_show(spark):
+    from cytoloom.operators import methylation
+    from cytoloom.sources import fasta
+
+    rng = random.Random(12)
+    seq = "".join(rng.choices("ACGTN", weights=(3, 4, 4, 3, 1), k=90))
+    contigs = spark.createDataFrame([("c", seq)], "contig string, seq string")
+    bases = fasta.bases(contigs)
+    whole = {tuple(r) for r in methylation.with_context(bases).collect()}
+    assert {tuple(r) for r in methylation.with_context(bases, span=7).collect()} == whole
+    reads = spark.createDataFrame([("a", "c", 5, "40M"), ("b", "c", 0, "10M20D5M"), ("d", "c", 80, "10M")], "q string, rname string, pos bigint, cigar string").withColumn("seq", F.lit("A" * 40)).withColumn("qual", F.lit("I" * 40))
+    rows = []
+    for piece in (8, 1000):
+        r = evidence.with_reference(reads, contigs, piece)
+        c = evidence.alignment_columns(r).where("position >= window_start and position < window_end")
+        at = F.col("position") - F.col("window_start") + 2
+        context, second = methylation.context_of(F.col("window"), at)
+        rows.append(sorted(map(str, c.select("q", "position", F.substring("window", (at + 1).cast("int"), F.lit(1)).alias("b"), context.alias("c"), second.alias("s")).collect())))
+        known = {x[1]: (x[3], x[4]) for x in whole}
+        for x in c.select("position", F.substring("window", (at + 1).cast("int"), F.lit(1)).alias("b"), context.alias("c"), second.alias("s")).collect():
+            assert x.b == seq[x.position]
+            assert known[x.position][0] == x.c and (x.c is None or known[x.position][1] == x.s)
+    assert rows[0] == rows[1] and len(rows[0]) == 40 + 35 + 10
+
+
+def test_kmers_of_pieces_are_those_of_the_text(spark):
+    from cytoloom.operators import alignment
+
+    rng = random.Random(3)
+    text = "".join(rng.choices("ACGTN", weights=(9, 9, 9, 9, 1), k=131))
+    df = spark.createDataFrame([("c", text), ("d", "ACG"), ("e", "")], "contig string, text string")
+    for stride, piece in ((1, 10), (4, 10), (4, 1000), (3, 131)):
+        got = sorted((r.contig, r.start, r.kmer) for r in alignment.kmers(df, 5, stride, piece).collect())
+        want = [("c", i, text[i : i + 5]) for i in range(0, 127, stride) if "N" not in text[i : i + 5]]
+        assert got == want
