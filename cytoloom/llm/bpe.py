@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import slices, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -50,6 +50,11 @@ class Codec:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
         return cls(ranks, pattern)
 
+    def forget(self) -> None:
+        """Empty the memory of pieces and pairs."""
+        self._packed.clear()
+        self._pairs.clear()
+
     def leaf(self, piece: bytes) -> list[int]:
         """The encoding of a short piece; one that is a token is that token."""
         whole = self.ranks.get(piece)
@@ -173,7 +178,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabu
             cols = [part.column(0), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(n, pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return rows.mapInArrow(run, ddl).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run, lambda: codec(vocabulary).forget()), ddl).withColumnRenamed("id", id_col)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

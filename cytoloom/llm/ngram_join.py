@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import size_checked, slices
+from .batches import size_checked, slices, tidy
 from .components import components
 from .scratch import stored
 
@@ -73,6 +73,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _forget() -> None:
+    # a function of the module, so that a worker empties its own memory and not a copy
+    _hashes.clear()
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the text's n-word shingles; A-Z lower-cased, split at ASCII white space."""
     words = text.encode().lower().split() if text else []
@@ -129,7 +134,7 @@ def _signatures(docs: DataFrame, shape: Shape) -> tuple[DataFrame, np.ndarray]:
         if any_row:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, arrow_id), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
-    both = stored(docs.select("id", "text").mapInArrow(run, f"id {id_type}, n bigint, c1 bigint, c2 bigint, ranges binary, marks array<bigint>, sketch binary"), "ngram-sets")
+    both = stored(docs.select("id", "text").mapInArrow(tidy(run, _forget), f"id {id_type}, n bigint, c1 bigint, c2 bigint, ranges binary, marks array<bigint>, sketch binary"), "ngram-sets")
     return both.where("sketch is null").drop("sketch"), _merged(both.where("sketch is not null").select("sketch"))
 
 
@@ -148,7 +153,7 @@ def _merged(parts: DataFrame) -> np.ndarray:
     left = parts.count()
     while left > 1:
         to = -(-left // 16)
-        parts = stored(parts.coalesce(to).mapInArrow(run, "sketch binary"), "ngram-sketch")
+        parts = stored(parts.coalesce(to).mapInArrow(tidy(run), "sketch binary"), "ngram-sketch")
         left = parts.count()
     row = parts.first()
     return np.frombuffer(zlib.decompress(row[0]), np.uint32) if row else np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -185,7 +190,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, shape: Shape) -> DataFrame:
                 rep = [np.repeat(np.array(x, np.int64), sizes) for x in zip(*ids)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]).view(np.int64)), pa.array(rep[0]), pa.array(rep[1]), pa.array(rep[2].astype(np.int32)), pa.array(np.concatenate(cols[2])), pa.array(np.concatenate(cols[1]))], names=names)
 
-    return docs.select("text").mapInArrow(run, "tok bigint, c1 bigint, c2 bigint, n int, pos int, heavy boolean")
+    return docs.select("text").mapInArrow(tidy(run, _forget), "tok bigint, c1 bigint, c2 bigint, n int, pos int, heavy boolean")
 
 
 def _shared_tokens(rows: DataFrame) -> DataFrame:
@@ -223,7 +228,7 @@ def _shared_tokens(rows: DataFrame) -> DataFrame:
     # a heavy token is dealt over many tasks by its classes, and its rows are kept without a look at the others
     salt = F.when(F.col("heavy"), F.pmod("c1", F.lit(HEAVY_SPREAD))).otherwise(F.lit(0))
     dealt = rows.withColumn("salt", salt).repartition("tok", "salt").sortWithinPartitions("tok", "c1", "c2").drop("salt")
-    return dealt.mapInArrow(run, "tok bigint, c1 bigint, c2 bigint, n int, pos int")
+    return dealt.mapInArrow(tidy(run), "tok bigint, c1 bigint, c2 bigint, n int, pos int")
 
 
 def _pair(a: str, b: str):
@@ -257,7 +262,7 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFr
 
     keep = wide.schema
     schema = type(keep)([f for f in keep if f.name not in ("ra", "rb")])
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(tidy(run), schema)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
@@ -271,7 +276,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
             cs = [_class(h) if len(h) else (None, None) for h in hs]
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cs], pa.int64()), pa.array([c[1] for c in cs], pa.int64()), pa.array([h.tobytes() for h in hs], pa.binary())], names=["c1", "c2", "hashes"])
 
-    sets = rows.select("text").mapInArrow(fetch, "c1 bigint, c2 bigint, hashes binary").select(_pair("c1", "c2").alias("c"), "hashes")
+    sets = rows.select("text").mapInArrow(tidy(fetch, _forget), "c1 bigint, c2 bigint, hashes binary").select(_pair("c1", "c2").alias("c"), "hashes")
     # an id may name several rows; one row a class is enough
     sets = stored(sets, "ngram-fetched").dropDuplicates(["c"])
     side = lambda s: sets.select(F.col("c").alias(s), F.col("hashes").alias(f"h{s}"))
@@ -290,7 +295,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shape: Shape) -> DataFrame:
             yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
 
     pair = wide.select("a", "b").schema
-    return wide.mapInArrow(run, pair)
+    return wide.mapInArrow(tidy(run), pair)
 
 
 def _centred(rows: DataFrame, keys: list[str], order, condition: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import map_slices, slices
+from .batches import map_slices, slices, tidy
 from .scratch import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -136,7 +136,7 @@ def term_counts(docs: DataFrame, text: str) -> DataFrame:
         if counts:
             yield flush()
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "term string, docs bigint")
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "term string, docs bigint")
     return parts.groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
@@ -162,7 +162,7 @@ def contexts(docs: DataFrame, text: str) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["kind", "value", "term", "mark_a", "mark_b"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "kind int, value bigint, term string, mark_a bigint, mark_b bigint")
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "kind int, value bigint, term string, mark_a bigint, mark_b bigint")
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = DISCLOSURE, value_contexts: int = VALUE_CONTEXTS, class_contexts: int = CLASS_CONTEXTS) -> DataFrame:

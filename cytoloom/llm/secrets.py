@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .batches import map_slices, slices
+from .batches import map_slices, slices, tidy
 
 KINDS = ("assign", "access", "hex")
 
@@ -75,7 +75,7 @@ def identifier_counts(docs: DataFrame, text: str) -> DataFrame:
         if counts:
             yield flush()
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, docs bigint")
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(tidy(run), "word string, docs bigint")
     return parts.groupBy("word").agg(F.sum("docs").alias("docs"))
 
 
@@ -175,7 +175,7 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None, conte
                 columns[size_at] = pa.array(sizes, columns[size_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

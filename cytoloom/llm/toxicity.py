@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .batches import held_out, map_slices, size_checked, slices
+from .batches import held_out, map_slices, size_checked, slices, tidy
 from .scratch import stored
 
 _WORD = re.compile(r"\w+")
@@ -98,7 +98,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    parts = rows.select("text", "toxic", "half").mapInArrow(run, "word string, kind tinyint, n bigint")
+    parts = rows.select("text", "toxic", "half").mapInArrow(tidy(run), "word string, kind tinyint, n bigint")
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
     return parts.groupBy("word").agg(*[of(k).alias(c) for k, c in enumerate(COUNTS)])
 
@@ -127,7 +127,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
                 arrays = [pa.array(np.full(len(keys), k, np.int8)), *[pa.array(c.view(np.int64)) for c in cols], pa.array(place[i] == k - 1), *map(pa.array, sums)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    parts = words.select("word", *COUNTS).mapInArrow(run, "k tinyint, key bigint, ctx bigint, tail bigint, tail_ctx bigint, first boolean, t0 bigint, o0 bigint, t1 bigint, o1 bigint")
+    parts = words.select("word", *COUNTS).mapInArrow(tidy(run), "k tinyint, key bigint, ctx bigint, tail bigint, tail_ctx bigint, first boolean, t0 bigint, o0 bigint, t1 bigint, o1 bigint")
     return parts.groupBy(*names[:6]).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
@@ -300,7 +300,11 @@ def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", column: str
         for part in slices(batches, at):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value(part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    def forget():
+        if shared.value.model is not None:
+            shared.value.model.known.clear()
+
+    return docs.mapInArrow(tidy(run, forget), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", scorer: Scorer | None = None) -> DataFrame:
