@@ -199,12 +199,12 @@ def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None,
     if not 0 <= span[0] <= span[1]:
         raise ConfigurationError("the least span must not exceed the greatest")
     distinct_paths(reference, reads1, reads2 or "", output)
-    contigs = fasta.read(spark, reference)
+    contigs = fasta.read(spark, reference).persist()
     first = fastq.read(spark, reads1, alignable=True)
     top = F.col("strand").isin("OT", "CTOT")
     tags = lambda xr: [F.concat(F.lit("NM:i:"), F.col("nm").cast("string")), F.concat(F.lit("MD:Z:"), F.col("md")), F.concat(F.lit("XG:Z:"), F.when(F.col("top"), "CT").otherwise("GA")), F.concat(F.lit("XR:Z:"), xr), F.concat(F.lit("XM:Z:"), F.col("xm"))]
     if reads2 is None:
-        hits = single.map_reads(first.select(F.col("ordinal").alias("read_id"), "seq"), contigs, max_edits, non_directional, seed)
+        hits = single.map_reads(first.select(F.col("ordinal").alias("read_id"), "seq"), contigs, max_edits, non_directional, seed).persist()
         rows = first.join(hits.withColumnRenamed("read_id", "ordinal"), "ordinal").withColumn("top", top)
         back = F.coalesce(F.col("reverse"), F.lit(False))
         rows = rows.withColumn("forward", F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))).withColumn("fqual", F.when(back, F.reverse("qual")).otherwise(F.col("qual")))
@@ -216,7 +216,7 @@ def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None,
         summary = hits
     else:
         pairs = fastq.pair(first, fastq.read(spark, reads2, alignable=True)).withColumnRenamed("ordinal", "pair_id")
-        hits = paired.map_pairs(pairs.select("pair_id", "seq1", "seq2"), contigs, max_edits, span, non_directional, seed)
+        hits = paired.map_pairs(pairs.select("pair_id", "seq1", "seq2"), contigs, max_edits, span, non_directional, seed).persist()
         rows = pairs.join(hits, "pair_id").withColumn("top", top)
         mate = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"seq{k}").alias("seq"), F.col(f"qual{k}").alias("qual"), F.col(f"start{k}").alias("start"), F.col(f"end{k}").alias("end"), F.col(f"start{3 - k}").alias("mstart"), F.col(f"end{3 - k}").alias("mend"), (F.col("reverse") if k == 1 else ~F.col("reverse")).alias("rev")) for k in (1, 2)]))
         each = rows.select("pair_id", "shared_name", "status", "mapq", "contig", "strand", "swapped", "top", mate.alias("m")).select("*", "m.*").drop("m")

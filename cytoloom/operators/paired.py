@@ -7,6 +7,7 @@ Pairs are mapped whole or not at all.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def map_pairs(pairs: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS, s
     # equal outer ends and labels are one origin, however its gaps fall
     origin = F.struct("contig", "strand", "swapped", "start1", "end2")
     best = Window.partitionBy("pair_id", origin).orderBy(F.desc("score"), "end1", "start2")
-    per = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    per = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").persist(StorageLevel.MEMORY_AND_DISK)
     sums = al.score_confidence(per, "pair_id")
     ties = per.join(sums.select("pair_id", "best"), "pair_id").where("score = best").groupBy("pair_id").agg(F.count("*").alias("ties"))
     h = al.tie_hash(F.col("pair_id"), F.col("contig"), F.col("strand"), F.col("start1"), F.col("end2"), seed=seed)

@@ -7,6 +7,7 @@ The blocks make the candidate set complete for the budget, so every frontier is
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +65,12 @@ def gapped(cands: DataFrame, reads: DataFrame, contigs: DataFrame, edits: int) -
 def placements(reads: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS) -> DataFrame:
     """(read_id, contig, strand, start, end, distance, rounds) in the coordinates of the strand's text."""
     ready = reads.where(al.searchable(F.col("seq"), edits))
-    cands = candidates(ready, contigs, edits)
-    easy = ungapped(cands, ready, contigs, min(edits, al.FIRST_EDITS))
+    # both stages, and what ranks their result, read these again
+    cands = candidates(ready, contigs, edits).persist(StorageLevel.MEMORY_AND_DISK)
+    easy = ungapped(cands, ready, contigs, min(edits, al.FIRST_EDITS)).persist(StorageLevel.MEMORY_AND_DISK)
     rest = ready.join(easy.select("read_id").distinct(), "read_id", "left_anti")
     hard = gapped(cands.join(rest.select("read_id"), "read_id", "left_semi"), rest, contigs, edits)
-    return easy.unionByName(hard)
+    return easy.unionByName(hard).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def forward(rows: DataFrame, contigs: DataFrame) -> DataFrame:
