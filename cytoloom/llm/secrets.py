@@ -30,12 +30,21 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
-_SENSITIVE = re.compile(r"(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth(?:orization)?|bearer|signing[ _-]?key|client[ _-]?id)(?![a-z])", re.I | re.A)
+# where a word of an identifier may begin or end: db|Password|Prod, DB|Password
+_EDGE = r"(?:(?<![A-Za-z])|(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))"
+_SENSITIVE = re.compile("(?=[abcpstABCPST])" + _EDGE + r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|auth(?:orization)?|bearer|signing[ _-]?key|client[ _-]?id)" + _EDGE, re.A)
+_STEMS = ("pass", "pwd", "secret", "token", "api", "access", "private", "credential", "auth", "bearer", "signing", "client")
+_BLOCK = re.compile(r"(?:\x20BLOCK)?-----", re.A)
+# between the lines of a wrapped token, and its shorter last line
+_WRAP = re.compile(r"(?:[\s\"'\\,]|(?<=[\s\"'])\+(?=\s)){1,64}", re.A)
+_LINE_END = re.compile(r"\n|\\", re.A)
+_BLOCK_END = re.compile(r"[\s\"'\\,]*n?-----END", re.A)
+_LAST = re.compile(r"(?!n?--)[A-Za-z0-9+/_=~.-]+(?=\x20*(?:[\r\n\"'\\]|\Z))", re.A)
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,}")
 
 #: Identifiers in the dictionary; fixes its size.
 DICTIONARY_WORDS = 4096
-#: Characters of surroundings on each side, and how far before a token the sensitive word may stand.
+#: Characters of surroundings on each side, and how far from a token the sensitive word or novel token may stand.
 AROUND, REACH = 160, 48
 #: Least length of a token, and the added bytes a character at which it is novel.
 NOVELTY = 0.62
@@ -100,22 +109,96 @@ class Novelty:
         return (len(self._zip.compress(ctx + tok)) - len(self._zip.compress(ctx))) / len(tok)
 
 
+def _candidates(text: str, cues: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, end if novel) of the long tokens, by start.
+
+    A sensitive word cuts a token, but what turns out novel before it goes on to the token's end. Lines of
+    one length, with a shorter last one, are one wrapped token.
+    """
+    out: list[tuple[int, int, int]] = []
+    at = lines = rows = done = 0
+    for m in _TOKEN.finditer(text):
+        (s, end), after = m.span(), done
+        if s < done:
+            continue
+        while at < len(cues) and cues[at][1] <= s:
+            at += 1
+        cut = at
+        while cut < len(cues) and cues[cut][0] < end:
+            if cues[cut][0] - s >= 16:
+                out.append((s, cues[cut][0], end))
+            s = max(s, cues[cut][1])
+            cut += 1
+        whole, done = s == m.start(), end
+        if whole and lines and end - s == lines and (w := _WRAP.fullmatch(text, after, s)) and _LINE_END.search(w[0]):
+            out[-1] = (out[-1][0], end, end)
+            rows += 1
+        elif end - s >= 16:
+            out.append((s, end, end))
+            lines, rows = end - s if whole else 0, 1
+        else:
+            lines = 0
+            continue
+        # the last line is shorter than the others; after a single line only the end of a block shows it
+        if lines and (w := _WRAP.match(text, end)) and _LINE_END.search(w[0]) and (t := _LAST.match(text, w.end())) and t.end() - t.start() < lines:
+            if rows > 1 or _BLOCK_END.match(text, t.end()):
+                done = t.end()
+                out[-1] = (out[-1][0], done, done)
+                lines = 0
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int]]:
-    """Incompressible tokens near a sensitive word that no base span touches."""
+    """Incompressible tokens that no base span touches near a sensitive word, on either side, or near a
+    token found so. A private key's block is sensitive up to its end."""
+    low = text.lower()
+    cues = [m.span() for m in _SENSITIVE.finditer(text)] if any(w in low for w in _STEMS) else []
+    if not cues:
+        return []
+    near = []
+    for s, e in cues:
+        block = _BLOCK.match(text, e) if text.startswith("-----BEGIN ", text.rfind("-----", max(0, s - 64), s)) else None
+        until = text.find("-----END", e) if block else 0
+        near.append((s, len(text) if until < 0 else max(until, e + REACH)))
+    tokens = _candidates(text, cues)
+    found: dict[int, int | None] = {}  # number of a token measured: its end if it is secret
+
+    def secret(i: int) -> int | None:
+        if i not in found:
+            s, cut, full = tokens[i]
+            token = text[s:cut].rstrip(".-=")
+            e = s + len(token) if cut == full else full
+            before, after = text[max(0, s - AROUND) : s], text[e : e + AROUND]
+            touching = [k for k, bs, be in base if bs < full and s < be]
+            if touching:
+                # an assigned value or key is a secret found; a bare hex run need not be
+                found[i] = full if min(touching) < 2 else None
+            else:
+                found[i] = e if any(novelty(before, line, after) >= least for line in _TOKEN.findall(token)) else None
+        return found[i]
+
+    # forwards from words and tokens to what follows, then backwards to what stands before
+    at, reach = 0, -1
+    for i, (s, _, _) in enumerate(tokens):
+        while at < len(near) and near[at][0] <= s:
+            reach = max(reach, near[at][1])
+            at += 1
+        if s <= reach and (e := secret(i)) is not None:
+            reach = max(reach, e + REACH)
+    at, reach = len(cues) - 1, len(text) + REACH + 1
+    for i in range(len(tokens) - 1, -1, -1):
+        s, cut, _ = tokens[i]
+        while at >= 0 and cues[at][0] >= cut:
+            reach = cues[at][0]
+            at -= 1
+        if (found.get(i) is not None) or (cut + REACH >= reach and secret(i) is not None):
+            reach = s
     out, after = [], 0
-    for cue in _SENSITIVE.finditer(text):
-        last = cue.end() + REACH
-        after = max(after, cue.end())
-        # a token starts within reach but ends wherever it ends
-        while found := _TOKEN.search(text, after, min(len(text), last + 16)):
-            s, e = _TOKEN.match(text, found.start()).span()
+    for i, (s, _, full) in enumerate(tokens):
+        e = found.get(i)
+        if e is not None and s >= after and not any(bs < full and s < be for _, bs, be in base):
+            out.append((s, e))
             after = e
-            token = text[s:e].rstrip(".-=")
-            if len(token) < 16 or any(bs < e and s < be for _, bs, be in base) or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-                continue
-            e = s + len(token)
-            if novelty(text[max(0, s - AROUND) : s], token, text[e : e + AROUND]) >= least:
-                out.append((s, e))
     return out
 
 
