@@ -7,8 +7,8 @@ rare expressions weigh alike under either model. A document's evidence is the di
 log-likelihoods of its words, divided by their number; a rising curve turns evidence into a score.
 
 Counts cover every labelled training row: words, then grams, are counted exactly in shuffled tables
-that grow with the input, and are then folded into tables of a fixed number of cells (``BITS``), the
-proven bound of what is broadcast. The curve is fitted on about ``CURVE_ROWS`` training rows at most,
+that grow with the input, and scoring uses those exact counts: up to ``BROADCAST_GRAMS`` grams they are
+broadcast as sorted arrays; more are joined to the grams of each distinct word by shuffle. The curve is fitted on about ``CURVE_ROWS`` training rows at most,
 each scored by the model of the other half of the training rows.
 
 Defined results: null text counts as empty and gets the curve's value at no evidence; null ids are
@@ -21,7 +21,6 @@ columns are ignored by ``score`` and kept by ``keep_ordinary``.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -38,8 +37,10 @@ _WORD = re.compile(r"\w+")
 _MIX_A, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _OPEN, _CLOSE = "\x02", "\x03"
 
-#: Characters of the longest gram, and log2 of the cells of each order's tables.
-ORDER, BITS = 5, (16, 16, 18, 19, 19)
+#: Characters of the longest gram, and the number of characters among which the lowest order spreads what is unseen.
+ORDER, CHARS = 5, 1 << 16
+#: Grams up to this number, of all orders, are broadcast; more are joined by shuffle.
+BROADCAST_GRAMS = 2_000_000
 #: Rows the score curve is fitted on.
 CURVE_ROWS = 20_000
 #: Labels up to this number are broadcast to the documents; more are joined by shuffle.
@@ -70,10 +71,6 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return place, start, hashes
 
 
-def _cell(h: np.ndarray, order: int) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS[order - 1])).astype(np.int64)
-
-
 COUNTS = ("t0", "o0", "t1", "o1")
 
 
@@ -144,31 +141,48 @@ def kneser_ney_counts(raw: DataFrame) -> DataFrame:
     return whole.unionByName(lower).groupBy("k", "key", "ctx").agg(*[F.sum(c).alias(c) for c in _NAMED])
 
 
+def _at(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each hash stands in the sorted keys; one past the end if it does not."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64)
+    i = np.searchsorted(keys, h)
+    return np.where(keys[np.minimum(i, len(keys) - 1)] == h, i, len(keys))
+
+
+@dataclass
+class Statistics:
+    """Of one model: the discounts by order and class, and the sum of the lowest order's counts by class."""
+
+    discount: list
+    lowest: tuple
+
+
 @dataclass
 class Model:
-    """Folded tables by order; the first index of ``count``, ``total`` and ``types`` is the order, then
-    the class (toxic, ordinary)."""
+    """Exact counts by order: the sorted hashes of the grams with ``count``, and those of their contexts
+    with ``total`` and ``types``, each by class (toxic, ordinary) and with a last cell for what is unseen."""
 
+    keys: list
     count: list
+    contexts: list
     total: list
     types: list
-    discount: list
+    stats: Statistics
     known: dict = field(default_factory=dict)
 
     def word_evidence(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word under toxic less that under ordinary."""
         place, start, hashes = grams(words)
-        cells = [_cell(h, k) for k, h in enumerate(hashes, 1)]
-        shared = self.count[0][0] + self.count[0][1] + 0.5
-        shared = shared[cells[0]] / shared.sum()
+        cells = [_at(keys, h) for keys, h in zip(self.keys, hashes)]
+        before = [None, *[np.append(len(keys), _at(keys, h[:-1])) for keys, h in zip(self.contexts[1:], hashes)]]
+        lowest = [n[cells[0]] for n in self.count[0]]
+        shared = (lowest[0] + lowest[1] + 0.5) / (sum(self.stats.lowest) + 0.5 * CHARS)
         logs = []
         for c in (0, 1):
-            own = self.count[0][c]
-            p = (own[cells[0]] / max(own.sum(), 1) + shared) / 2
+            p = (lowest[c] / max(self.stats.lowest[c], 1) + shared) / 2
             for k in range(2, ORDER + 1):
-                ctx = np.zeros(len(place), np.int64)
-                ctx[1:] = _cell(hashes[k - 2][:-1], k)
-                total, d = self.total[k - 1][c][ctx], self.discount[k - 1][c]
+                ctx = before[k - 1]
+                total, d = self.total[k - 1][c][ctx], self.stats.discount[k - 1][c]
                 use = (place >= k - 1) & (total > 0)
                 safe = np.maximum(total, 1)
                 p = np.where(use, np.maximum(self.count[k - 1][c][cells[k - 1]] - d, 0) / safe + d * self.types[k - 1][c][ctx] / safe * p, p)
@@ -187,46 +201,95 @@ class Model:
             self.known.update(zip(some, self.word_evidence(some).tolist()))
         return np.array([sum(map(self.known.__getitem__, words)) / (len(words) + PADDING) if words else 0.0 for words in split])
 
-    def __getstate__(self):
-        # most cells are empty, so what is broadcast is a small part of the tables
-        pack = lambda tables: [(t.shape, zlib.compress(t.tobytes(), 1)) for t in tables]
-        return {"discount": self.discount} | {n: pack(getattr(self, n)) for n in ("count", "total", "types")}
-
-    def __setstate__(self, state):
-        self.discount, self.known = state["discount"], {}
-        for n in ("count", "total", "types"):
-            setattr(self, n, [np.frombuffer(zlib.decompress(b), np.float32).reshape(shape) for shape, b in state[n]])
-
-
-def models(counts: DataFrame) -> dict[str, Model]:
-    """The models of all training rows and of each half, folded from the exact counts."""
-    cell = lambda c, shift: F.expr(f"cast(shiftrightunsigned({c}, case k {' '.join(f'when {k + shift} then {64 - b}' for k, b in enumerate(BITS))} end) as int)").alias("cell")
-    by_key = counts.groupBy("k", cell("key", 1)).agg(*[F.sum(c).cast("float").alias(c) for c in _NAMED]).toArrow()
-    by_ctx = counts.where("k > 1").groupBy("k", cell("ctx", 1)).agg(*[F.sum(c).cast("float").alias(c) for c in _NAMED], *[F.count(F.when(F.col(c) > 0, 1)).cast("float").alias(f"{c}_n") for c in _NAMED]).toArrow()
-    few = {r["k"]: r for r in counts.groupBy("k").agg(*[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}_{n}") for c in _NAMED for n in (1, 2)]).collect()}
-
-    def tables(arrow, columns: list[str]) -> list:
-        order, at = arrow["k"].to_numpy(), arrow["cell"].to_numpy()
-        out = []
-        for k, bits in enumerate(BITS, 1):
-            rows = np.flatnonzero(order == k)
-            made = np.zeros((len(columns), 1 << bits), np.float32)
-            for t, c in zip(made, columns):
-                t[at[rows]] = arrow[c].to_numpy()[rows]
-            out.append(made)
-        return out
+
+def statistics(counts: DataFrame) -> dict[str, Statistics]:
+    """Of the models of all training rows and of each half."""
+    few = {r["k"]: r for r in counts.groupBy("k").agg(*[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}_{n}") for c in _NAMED for n in (1, 2)], *[F.sum(c).alias(c) for c in _NAMED]).collect()}
 
     def discount(k: int, c: str) -> float:
         one, two = (few[k][f"{c}_{n}"] for n in (1, 2)) if k in few else (0, 0)
         return min(max(one / max(1, one + 2 * two), 0.1), 0.9)
 
+    own = {m: (f"{m}_0", f"{m}_1") for m in _MODELS}
+    return {m: Statistics([tuple(discount(k, c) for c in own[m]) for k in range(1, ORDER + 1)], tuple(few[1][c] if 1 in few else 0 for c in own[m])) for m in _MODELS}
+
+
+def _by_context(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """(k, ctx), and of each column the sum and, as ``_n``, the number of grams."""
+    return counts.where("k > 1").groupBy("k", "ctx").agg(*[F.sum(c).alias(c) for c in columns], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_n") for c in columns])
+
+
+def models(counts: DataFrame, stats: dict[str, Statistics] | None = None) -> dict[str, Model]:
+    """The models of all training rows and of each half, of the exact counts."""
+    stats = stats or statistics(counts)
+    by_key = counts.select("k", "key", *_NAMED).toArrow()
+    by_ctx = _by_context(counts, list(_NAMED)).toArrow()
+
+    def tables(arrow, key: str, own: list[str], *groups: list[str]) -> tuple:
+        order, hashes = arrow["k"].to_numpy(), arrow[key].to_numpy().view(np.uint64)
+        values = {c: arrow[c].to_numpy() for g in groups for c in g}
+        kept = (values[own[0]] > 0) | (values[own[1]] > 0)
+        out = [[] for _ in range(1 + len(groups))]
+        for k in range(1, ORDER + 1):
+            rows = np.flatnonzero((order == k) & kept)
+            rows = rows[np.argsort(hashes[rows])]
+            out[0].append(hashes[rows])
+            for made, g in zip(out[1:], groups):
+                made.append(np.array([np.append(values[c][rows], 0) for c in g]))
+        return tuple(out)
+
     made = {}
     for m in _MODELS:
         own = [f"{m}_0", f"{m}_1"]
-        made[m] = Model(tables(by_key, own), tables(by_ctx, own), tables(by_ctx, [f"{c}_n" for c in own]), [tuple(discount(k, c) for c in own) for k in range(1, ORDER + 1)])
+        made[m] = Model(*tables(by_key, "key", own, own), *tables(by_ctx, "ctx", own, own, [f"{c}_n" for c in own]), stats[m])
     return made
 
 
+def joined_word_evidence(words: DataFrame, counts: DataFrame, m: str, stats: Statistics) -> DataFrame:
+    """(word, evidence) of ``words`` under model ``m``, by joins alone: what ``Model.word_evidence`` gives."""
+
+    def run(batches):
+        for part in slices(batches, 0):
+            listed = part.column(0).to_pylist()
+            place, start, hashes = grams(listed)
+            word = np.repeat(np.arange(len(listed)), np.diff(np.append(start, len(place))))
+            for k in range(1, ORDER + 1):
+                i = np.flatnonzero(place >= max(1, k - 1))
+                ctx = hashes[k - 2][i - 1] if k > 1 else np.zeros(len(i), np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(word[i])), pa.array(place[i], pa.int64()), pa.array(np.full(len(i), k, np.int8)), pa.array(hashes[k - 1][i].view(np.int64)), pa.array(ctx.view(np.int64))], names=["word", "place", "k", "key", "ctx"])
+
+    own = [f"{m}_0", f"{m}_1"]
+    rows = words.select("word").mapInArrow(tidy(run), "word string, place bigint, k tinyint, key bigint, ctx bigint")
+    by_key = counts.select("k", "key", *[F.col(c).alias(f"n{i}") for i, c in enumerate(own)])
+    by_ctx = _by_context(counts, own).select("k", "ctx", *[F.col(c).alias(f"total{i}") for i, c in enumerate(own)], *[F.col(f"{c}_n").alias(f"types{i}") for i, c in enumerate(own)])
+    met = rows.join(by_key, ["k", "key"], "left").join(by_ctx, ["k", "ctx"], "left")
+    of = lambda k, c: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}_{k}")
+    per = met.groupBy("word", "place").agg(*[of(k, f"{c}{i}") for k in range(1, ORDER + 1) for i in (0, 1) for c in (("n", "total", "types") if k > 1 else ("n",))])
+    shared = (F.col("n0_1") + F.col("n1_1") + 0.5) / (sum(stats.lowest) + 0.5 * CHARS)
+    per = per.withColumns({f"p{i}": (F.col(f"n{i}_1") / max(stats.lowest[i], 1) + shared) / 2 for i in (0, 1)})
+    for k in range(2, ORDER + 1):
+        step = {}
+        for i in (0, 1):
+            d, total = stats.discount[k - 1][i], F.col(f"total{i}_{k}")
+            step[f"p{i}"] = F.when(total > 0, F.greatest(F.col(f"n{i}_{k}") - d, F.lit(0.0)) / total + d * F.col(f"types{i}_{k}") / total * F.col(f"p{i}")).otherwise(F.col(f"p{i}"))
+        per = per.withColumns(step)
+    return per.groupBy("word").agg(F.sum(F.log("p0") - F.log("p1")).alias("evidence"))
+
+
+def joined_evidence(rows: DataFrame, counts: DataFrame, m: str, stats: Statistics) -> DataFrame:
+    """(row, x) of ``rows`` (row, text) that have words: what ``Model.evidence`` gives."""
+
+    def run(batches):
+        for part in slices(batches, 1):
+            found = [(i, w, n, c.total()) for i, t in zip(*(c.to_pylist() for c in part.columns)) if t for c in [Counter(_WORD.findall(t.lower()))] for w, n in c.items()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["row", "word", "n", "size"])
+
+    used = stored(rows.select("row", "text").mapInArrow(tidy(run), "row bigint, word string, n bigint, size bigint"), "tox-used")
+    per = joined_word_evidence(used.select("word").distinct(), counts, m, stats)
+    return used.join(per, "word").groupBy("row").agg((F.sum(F.col("n") * F.col("evidence")) / (F.first("size") + PADDING)).alias("x"))
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the best rising curve through (evidence, class): pool adjacent violators, then join the
     blocks' centres. Beyond the outer blocks it goes on to 0 and 1 over a spread of the evidence."""
@@ -246,11 +309,14 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Scorer:
-    """What scoring needs: the model of all training rows and the curve, or a constant."""
+    """What scoring needs: the model of all training rows and the curve, or a constant. In place of the
+    model, counts too many to broadcast."""
 
     model: Model | None
     curve: tuple[np.ndarray, np.ndarray] | None
     constant: float = 0.0
+    counts: DataFrame | None = None
+    stats: Statistics | None = None
 
     def __call__(self, texts: list) -> np.ndarray:
         if self.model is None:
@@ -265,14 +331,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = known.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(size_checked(stored(known, "tox-labels"), BROADCAST_LABELS), "id")
     words = stored(word_counts(rows), "tox-words")
-    made = models(stored(kneser_ney_counts(gram_counts(words)), "tox-grams"))
-    if not all(made["all"].count[0].any(axis=1)):
+    counts = stored(kneser_ney_counts(gram_counts(words)), "tox-grams")
+    stats = statistics(counts)
+    if not all(stats["all"].lowest):
         share = known.agg(F.avg("toxic")).first()[0]
         return Scorer(None, None, float(share or 0.0))
-    halves = spark.sparkContext.broadcast([made["0"], made["1"]])
     total = max(1, known.count())
     # a bounded sample by hash of the id
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(1_000_000)) < int(min(1.0, CURVE_ROWS / total) * 1_000_000))
+    if counts.count() > BROADCAST_GRAMS:
+        sample = stored(sample.select("toxic", "half", "text").withColumn("row", F.monotonically_increasing_id()), "tox-sample")
+        x = [joined_evidence(sample.where(F.col("half") == h), counts, str(1 - h), stats[str(1 - h)]) for h in (0, 1)]
+        got = sample.join(x[0].unionByName(x[1]), "row", "left").select("toxic", F.coalesce("x", F.lit(0.0)).alias("x")).toArrow()
+        return _fitted(got, counts=counts, stats=stats["all"])
+    made = models(counts, stats)
+    halves = spark.sparkContext.broadcast([made["0"], made["1"]])
 
     def run(cols):
         out = np.zeros(len(cols["half"]))
@@ -284,14 +357,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
     got = map_slices(sample.select("text", "toxic", "half"), run, StructType.fromDDL("toxic int, x double"), "text").toArrow()
     halves.destroy()
+    return _fitted(got, model=made["all"])
+
+
+def _fitted(got: pa.Table, model: Model | None = None, **joined) -> Scorer:
     x, y = got["x"].to_numpy(), got["toxic"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return Scorer(None, None, float(y.mean() if len(y) else 0.0))
-    return Scorer(made["all"], fit_curve(x, y))
+    return Scorer(model, fit_curve(x, y), **joined)
 
 
 def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the score appended."""
+    if scorer.counts is not None:
+        return _with_joined_score(docs, scorer, text, column)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
     at = docs.columns.index(text)
@@ -307,6 +386,20 @@ def with_score(docs: DataFrame, scorer: Scorer, text: str = "text", column: str
     return docs.mapInArrow(tidy(run, forget), schema)
 
 
+def _with_joined_score(docs: DataFrame, scorer: Scorer, text: str, column: str) -> DataFrame:
+    names, curve = docs.columns, scorer.curve
+    # columns by number, as docs may have any names
+    rows = stored(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id()), "tox-docs")
+    x = joined_evidence(rows.select("row", F.col(f"c{names.index(text)}").alias("text")), scorer.counts, "all", scorer.stats)
+    rows = rows.join(x, "row", "left").drop("row").withColumn("x", F.coalesce("x", F.lit(0.0)))
+
+    def run(batches):
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.interp(part.column(part.num_columns - 1).to_numpy(), *curve), pa.float64())], names=[*names, column])
+
+    return rows.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", scorer: Scorer | None = None) -> DataFrame:
     """Id, ``held_out``, ``score`` and ``predicted`` of each document."""
     scorer = scorer or train(docs, labels, id_col, text)
