@@ -125,7 +125,7 @@ def map_single_end(spark, d):
     """Documents' letters mapped to the passages' letters."""
     from ..operators import single
 
-    return single.map_reads(v.reads(spark, d).where("length(seq) >= 16"), v.contigs(spark, d), edits=1).select("read_id", "status", "mapq", "contig", "strand", "start", "end", "distance")
+    return single.map_reads(v.reads(spark, d), v.contigs(spark, d)).select("read_id", "status", "mapq", "contig", "strand", "start", "end", "distance")
 
 
 _CIGAR = "concat(l_linenumber, 'S', 10 + l_suppkey % 5, 'M', 1 + l_partkey % 3, case when l_partkey % 2 = 0 then 'D' else 'I' end, 20, 'M')"
