@@ -73,3 +73,14 @@ def held_out(doc_id):
 def size_checked(small: DataFrame, limit: int) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``limit`` rows; else left to a shuffled join."""
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """A column name for each of ``bases`` that no column of ``df`` has, in either case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in bases:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
