@@ -13,8 +13,9 @@ from .functions.chem import reverse_complement
 from .operators import alignment as al
 from .operators import combine as combining
 from .operators import intervals, joint, methylation, paired, single, snp
-from .operators.evidence import alignment_columns, collapse_overlaps, cytosine_strand, fragments, kept_records, with_reference
+from .operators.evidence import alignment_columns, collapse_overlaps, cytosine_strand, fragments, kept_records, pieces, with_reference
 from .operators.records import described
+from .session import cut
 from .sinks.files import distinct_paths, matrix_paths, publish, tabbed, write_text
 from .sources import fasta, fastq, sam, sites
 
@@ -34,7 +35,7 @@ def observations(spark: SparkSession, input: str, reference: str, regions=(), re
         sam.check_header(head)
         fasta.check_identity(contigs, sam.dictionary(head))
         records = sam.records(spark, input)
-    records = fragments(kept_records(records, ignore_orphans)).withColumn("strand", cytosine_strand(F.col("xg")))
+    records = fragments(kept_records(records, ignore_orphans).withColumn("strand", cytosine_strand(F.col("xg"))))
     records = with_reference(records.select("fragment_id", "segment", "strand", "rname", "pos", F.col("mapq").alias("mapping_quality"), "cigar", "seq", "qual"), contigs)
     columns = alignment_columns(records.withColumnRenamed("rname", "contig").drop("piece")).where((F.col("position") >= F.col("window_start")) & (F.col("position") < F.col("window_end")))
     wanted = selection(spark, contigs, regions, regions_file)
@@ -184,28 +185,56 @@ def sam_header(contigs: DataFrame) -> list[str]:
 
 
 def _described(rows: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Records with cigar, nm, md, xm from (contig, start, end, top, seq in forward orientation)."""
-    rows = rows.join(contigs.select("contig", F.col("seq").alias("_ref")), "contig", "left")
-    lo, hi = F.greatest(F.col("start") - 2, F.lit(0)), F.least(F.col("end") + 2, F.length("_ref"))
-    flank = F.concat(F.repeat(F.lit("."), (lo - F.col("start") + 2).cast("int")), F.substring("_ref", (lo + 1).cast("int"), (hi - lo).cast("int")), F.repeat(F.lit("."), (F.col("end") + 2 - hi).cast("int")))
-    mapped = rows.where("contig is not null").withColumn("_d", described(flank, F.col("forward"), F.col("top")))
-    return mapped.select(*[c for c in rows.columns if c != "_ref"], "_d.cigar", "_d.nm", "_d.md", "_d.xm")
-
-
-def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None, output: str, max_edits: int = al.MAX_EDITS, non_directional: bool = False, span: tuple[int, int] = (0, 1000), mapped_only: bool = False, seed: int = 0, metrics: str | None = None) -> dict:
-    """Reads, or pairs, to SAM in the order of the input."""
+    """Records with cigar, nm, md, xm from (contig, start, end, top, distance, seq in forward orientation as
+    ``forward``, and ``tail``, the read's last bases that are clipped). Reads meet pieces of the reference."""
+    mapped = rows.where("contig is not null").withColumn("_kept", F.length("forward") - F.col("tail"))
+    longest = mapped.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    texts = contigs.select("contig", F.explode(pieces(F.col("seq"), max(al.WINDOW_PIECE, longest + 4), 2, longest + 4)).alias("_p")).select("contig", F.col("_p.piece").alias("_piece"), F.col("_p.bases").alias("_ref"))
+    size = max(al.WINDOW_PIECE, longest + 4)
+    mapped = mapped.withColumn("_piece", F.floor(F.col("start") / size)).join(texts, ["contig", "_piece"])
+    flank = F.substring("_ref", (F.col("start") - F.col("_piece") * size + 1).cast("int"), (F.col("end") - F.col("start") + 4).cast("int"))
+    back = F.coalesce(F.col("rev"), F.lit(False))
+    placed = F.when(back, F.right("forward", "_kept")).otherwise(F.left("forward", F.col("_kept")))
+    out = mapped.withColumn("_d", described(flank, placed, F.col("top"), F.col("distance")))
+    clip, dots = F.when(F.col("tail") > 0, F.concat(F.col("tail").cast("string"), F.lit("S"))).otherwise(""), F.repeat(F.lit("."), F.col("tail"))
+    ends = lambda x, more: F.concat(F.when(back, more).otherwise(""), x, F.when(back, "").otherwise(more))
+    return out.select(*rows.columns, ends(F.col("_d.cigar"), clip).alias("cigar"), "_d.nm", "_d.md", ends(F.col("_d.xm"), dots).alias("xm"))
+
+
+def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None, output: str, max_edits: int = al.MAX_EDITS, non_directional: bool = False, span: tuple[int, int] = (0, 1000), mapped_only: bool = False, seed: int = 0, metrics: str | None = None, adapter: str | None = single.ADAPTER, index_path: str | None = None, sensitive: bool = False) -> dict:
+    """Reads, or pairs, to SAM in the order of the input.
+
+    Single reads that run into ``adapter`` (None: none) are mapped again without it, and its bases clipped;
+    ``index_path`` names an index of the same reference, which is else made for the run; ``sensitive``
+    searches until no placement within the edits can be missing, where hits are not too many.
+    """
     if not 0 <= max_edits <= al.MAX_EDITS:
         raise ConfigurationError(f"the edit budget is 0 to {al.MAX_EDITS}")
     if not 0 <= span[0] <= span[1]:
         raise ConfigurationError("the least span must not exceed the greatest")
+    if adapter is not None and not (adapter and set(adapter) <= set("ACGT")):
+        raise ConfigurationError("an adapter is a text of A, C, G and T")
     distinct_paths(reference, reads1, reads2 or "", output)
     contigs = fasta.read(spark, reference).persist()
+    seeds = None
+    if index_path is not None:
+        indexed, seeds = load_index(spark, index_path)
+        if fasta.digest(indexed) != fasta.digest(contigs):
+            raise InputError("the index is of another reference")
     first = fastq.read(spark, reads1, alignable=True)
     top = F.col("strand").isin("OT", "CTOT")
     tags = lambda xr: [F.concat(F.lit("NM:i:"), F.col("nm").cast("string")), F.concat(F.lit("MD:Z:"), F.col("md")), F.concat(F.lit("XG:Z:"), F.when(F.col("top"), "CT").otherwise("GA")), F.concat(F.lit("XR:Z:"), xr), F.concat(F.lit("XM:Z:"), F.col("xm"))]
     if reads2 is None:
-        hits = single.map_reads(first.select(F.col("ordinal").alias("read_id"), "seq"), contigs, max_edits, non_directional, seed).persist()
-        rows = first.join(hits.withColumnRenamed("read_id", "ordinal"), "ordinal").withColumn("top", top)
+        reads = first.select(F.col("ordinal").alias("read_id"), "seq")
+        options = dict(non_directional=non_directional, seed=seed, index=seeds, sensitive=sensitive)
+        hits = single.map_reads(reads, contigs, max_edits, **options)
+        if adapter is None:
+            hits = hits.withColumn("retained", F.lit(None).cast("int"))
+        else:
+            hits = single.with_adapter(cut(hits), reads, contigs, max_edits, adapter, **options)
+        hits = cut(hits)
+        rows = first.join(hits.withColumnRenamed("read_id", "ordinal"), "ordinal").withColumn("top", top).withColumn("rev", F.col("reverse"))
+        rows = rows.withColumn("tail", F.coalesce(F.length("seq") - F.col("retained"), F.lit(0)).cast("int"))
         back = F.coalesce(F.col("reverse"), F.lit(False))
         rows = rows.withColumn("forward", F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))).withColumn("fqual", F.when(back, F.reverse("qual")).otherwise(F.col("qual")))
         done = _described(rows, contigs)
@@ -216,10 +245,11 @@ def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None,
         summary = hits
     else:
         pairs = fastq.pair(first, fastq.read(spark, reads2, alignable=True)).withColumnRenamed("ordinal", "pair_id")
-        hits = paired.map_pairs(pairs.select("pair_id", "seq1", "seq2"), contigs, max_edits, span, non_directional, seed).persist()
+        hits = paired.map_pairs(pairs.select("pair_id", "seq1", "seq2"), contigs, max_edits, span, non_directional, seed, seeds, sensitive)
+        hits = cut(hits)
         rows = pairs.join(hits, "pair_id").withColumn("top", top)
-        mate = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"seq{k}").alias("seq"), F.col(f"qual{k}").alias("qual"), F.col(f"start{k}").alias("start"), F.col(f"end{k}").alias("end"), F.col(f"start{3 - k}").alias("mstart"), F.col(f"end{3 - k}").alias("mend"), (F.col("reverse") if k == 1 else ~F.col("reverse")).alias("rev")) for k in (1, 2)]))
-        each = rows.select("pair_id", "shared_name", "status", "mapq", "contig", "strand", "swapped", "top", mate.alias("m")).select("*", "m.*").drop("m")
+        mate = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"seq{k}").alias("seq"), F.col(f"qual{k}").alias("qual"), F.col(f"start{k}").alias("start"), F.col(f"end{k}").alias("end"), F.col(f"distance{k}").alias("distance"), F.col(f"start{3 - k}").alias("mstart"), F.col(f"end{3 - k}").alias("mend"), (F.col("reverse") if k == 1 else ~F.col("reverse")).alias("rev")) for k in (1, 2)]))
+        each = rows.select("pair_id", "shared_name", "status", "mapq", "contig", "strand", "swapped", "top", mate.alias("m")).select("*", "m.*", F.lit(0).alias("tail")).drop("m")
         back = F.coalesce("rev", F.lit(False))
         each = each.withColumn("forward", F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))).withColumn("fqual", F.when(back, F.reverse("qual")).otherwise(F.col("qual")))
         done = _described(each, contigs)

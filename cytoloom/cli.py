@@ -14,6 +14,7 @@ from .errors import ConfigurationError, EngineError
 from .functions.numeric import ppb
 from .operators.combine import CombineOptions
 from .operators.methylation import MethylationOptions
+from .operators.single import ADAPTER
 from .operators.snp import SnpOptions
 
 log = logging.getLogger("cytoloom")
@@ -87,6 +88,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mapped-only", action="store_true")
     p.add_argument("--tie-break-seed", type=int, default=0)
     p.add_argument("--metrics")
+    p.add_argument("--adapter", default=ADAPTER, help="adapter that single reads may run into")
+    p.add_argument("--no-adapter", action="store_true")
+    p.add_argument("--index", help="an index of the reference")
+    p.add_argument("--sensitive", action="store_true", help="search until no placement can be missing")
     commands.add_parser("info", help="versions and settings of this installation")
     return top
 
@@ -120,7 +125,7 @@ def run(a) -> None:
     elif a.command == "index":
         report = api.index(spark, a.reference, a.output)
     elif a.command == "align":
-        report = api.align(spark, a.reference, a.reads1, a.reads2, a.output, a.max_edits, a.non_directional, (a.min_span, a.max_span), a.mapped_only, a.tie_break_seed, a.metrics)
+        report = api.align(spark, a.reference, a.reads1, a.reads2, a.output, a.max_edits, a.non_directional, (a.min_span, a.max_span), a.mapped_only, a.tie_break_seed, a.metrics, None if a.no_adapter else a.adapter, a.index, a.sensitive)
     else:
         report = api.info(spark)
     for k, v in report.items():

@@ -41,18 +41,19 @@ def distance(ref: str, query: str, bottom: bool = False) -> int:
     return int(row[-1])
 
 
-def alignment(ref: str, query: str, bottom: bool = False) -> tuple[int, str, bool]:
+def alignment(ref: str, query: str, bottom: bool = False, most: int | None = None) -> tuple[int, str, bool]:
     """(distance, cigar, whether another optimum exists). Among optima: fewest gap bases, then fewest gap
-    runs, then the least operations, D before I before M."""
+    runs, then the least operations, D before I before M. ``most`` edits, if known, bound the band."""
     cost = cost_matrix(ref, query, bottom)
     n, m = len(ref), len(query)
+    band = max(n, m) if most is None else most
     # best (edits, gap bases, gap runs) from each cell to the end, by the operation that leads into it
     inf = (1 << 20, 0, 0)
     table = [[[inf] * 3 for _ in range(m + 1)] for _ in range(n + 1)]
     ways = np.zeros((n + 1, m + 1), object)
-    least = np.zeros((n + 1, m + 1), np.int64)
+    least = np.full((n + 1, m + 1), 1 << 20)
     for i in range(n, -1, -1):
-        for j in range(m, -1, -1):
+        for j in range(min(m, i + band), max(0, i - band) - 1, -1):
             if i == n and j == m:
                 table[i][j] = [(0, 0, 0)] * 3
                 ways[i, j], least[i, j] = 1, 0
@@ -102,6 +103,91 @@ def flexible(window: str, query: str, slack: int, bottom: bool = False) -> list[
     return [x for x in found if x[2] == least]
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """Base codes of texts of one length, a row each."""
+    return _CODE[np.frombuffer("".join(texts).encode(), np.uint8)].reshape(len(texts), -1)
+
+
+def _by_length(*columns) -> dict[tuple[int, ...], list[int]]:
+    """Rows of equal lengths in every column; rows with a null are in none."""
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for i, row in enumerate(zip(*columns)):
+        if all(x is not None for x in row):
+            groups.setdefault(tuple(map(len, row)), []).append(i)
+    return groups
+
+
+def _costs(bottom: bool) -> np.ndarray:
+    """Cost of each pair of base codes (reference, query)."""
+    cost = 1 - np.eye(5, dtype=np.int16)
+    cost[4, 4] = 1
+    cost[(2, 0) if bottom else (1, 3)] = 0
+    return cost
+
+
+#: Rows of a batch that are compared at a time.
+BATCH = 2048
+
+
+def flexible_batch(windows: list[str], queries: list[str], slack: int, bottom: bool = False) -> list[list[tuple[int, int, int]]]:
+    """``flexible`` of rows of one length each, a column of the band at a time for all rows and starts.
+
+    Dots at a window's ends stand beyond the contig, and no placement reaches them. A path within
+    ``slack`` edits never shifts by more, so the band has 2 * slack + 1 offsets.
+    """
+    n, wide, costs = len(queries[0]), 2 * slack + 1, _costs(bottom)
+    if len(windows[0]) != n + 2 * slack or not n:
+        return [flexible(w, q, slack, bottom) for w, q in zip(windows, queries)]
+    w = np.pad(_codes(windows), ((0, 0), (slack, slack)), constant_values=4)
+    q = _codes(queries)
+    steps = np.arange(wide, dtype=np.int16)
+    # cell (row, start, offset): edits of the first j bases against the window from start, shifted by offset
+    now = np.broadcast_to(np.where(steps >= slack, steps - slack, 99).astype(np.int16), (len(q), wide, wide))
+    for j in range(n):
+        miss = costs[w[:, j : j + 4 * slack + 1], q[:, j, None]]
+        new = now + np.lib.stride_tricks.sliding_window_view(miss, wide, axis=1)
+        np.minimum(new[:, :, :-1], now[:, :, 1:] + 1, out=new[:, :, :-1])
+        now = np.minimum.accumulate(new - steps, axis=2) + steps
+    start, shift = np.meshgrid(np.arange(wide), np.arange(wide) - slack, indexing="ij")
+    end = start + n + shift
+    left = np.array([len(x) - len(x.lstrip(".")) for x in windows])
+    right = np.array([len(x.rstrip(".")) for x in windows])
+    open_ = (np.abs(start + shift - slack) <= slack)[None] & (start[None] >= left[:, None, None]) & (end[None] <= right[:, None, None])
+    now = np.where(open_, now, 99)
+    least = now.min((1, 2))
+    out: list[list[tuple[int, int, int]]] = [[] for _ in windows]
+    for i, s, o in np.argwhere((now == least[:, None, None]) & (least <= slack)[:, None, None]).tolist():
+        out[i].append((s, s + n + o - slack, int(least[i])))
+    return out
+
+
+def affine_batch(refs: list[str], queries: list[str], bottom: bool = False, band: int = BAND) -> list[int | None]:
+    """``affine_score`` of rows of one length each, a row of the band at a time."""
+    n, m = len(refs[0]), len(queries[0])
+    if abs(n - m) > band:
+        return [None] * len(refs)
+    costs, low, wide = _costs(bottom), -(10**6), 2 * band + 1
+    r, q = _codes(refs), np.pad(_codes(queries), ((0, 0), (band, band + max(0, n - m))), constant_values=4)
+    shift = np.arange(wide) - band
+    h = np.broadcast_to(np.where((shift < 0) | (shift > m), low, np.where(shift == 0, 0, -OPEN - EXTEND * shift)), (len(r), wide))
+    d = np.full((len(r), wide), low)
+    edge = np.full((len(r), 1), low)
+    for i in range(1, n + 1):
+        new_d = np.concatenate([np.maximum(h[:, 1:] - OPEN - EXTEND, d[:, 1:] - EXTEND), edge], 1)
+        gain = np.where(costs[r[:, i - 1, None], q[:, i - 1 : i - 1 + wide]] == 0, MATCH, -MISMATCH)
+        new_h = np.maximum(h + gain, new_d)
+        j = i + shift
+        if i <= band:
+            new_h[:, band - i] = new_d[:, band - i] = -OPEN - EXTEND * i
+        new_h[:, (j < 0) | (j > m)] = new_d[:, (j < 0) | (j > m)] = low
+        # an insertion from another never beats a longer one
+        run = np.maximum.accumulate(new_h + EXTEND * shift, axis=1)
+        ins = np.concatenate([edge, run[:, :-1] - OPEN - EXTEND * shift[1:]], 1)
+        ins[:, (j <= 0) | (j > m)] = low
+        h, d = np.maximum(new_h, ins), new_d
+    return h[:, m - n + band].tolist()
+
+
 def affine_score(ref: str, query: str, bottom: bool = False, band: int = BAND) -> int | None:
     """Global banded score; None where the lengths differ by more than the band."""
     n, m = len(ref), len(query)
@@ -128,28 +214,36 @@ def affine_score(ref: str, query: str, bottom: bool = False, band: int = BAND) -
     return int(h[m])
 
 
+def clipped_batch(refs: list[str], queries: list[str], edits: list[int], clip_cost: int = 1, bottom: bool = False) -> list[tuple[int, int, int] | None]:
+    """``clipped`` of rows of one length, a pair of clips at a time for all rows."""
+    n, rows = len(queries[0]), len(queries)
+    if len(refs[0]) != n:
+        return [None] * rows
+    bad = np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(_costs(bottom)[_codes(refs), _codes(queries)], 1)], 1)
+    most = np.asarray(edits)
+    far = 1 << 40
+    best, what = np.full(rows, far), np.zeros((rows, 3), np.int64)
+    for left in range(MOST_CLIPPED + 1):
+        for right in range(MOST_CLIPPED + 1 - left):
+            clip = left + right
+            if clip == 0 or n - clip < LEAST_ALIGNED:
+                continue
+            d = bad[:, n - right] - bad[:, left]
+            # the least of (cost, clipped bases, mismatches, left clip) as one number
+            key = np.where((d <= most) & (2 * d + clip <= n // 5), (((EDIT_COST * d + clip_cost * clip) * 64 + clip) * 1024 + d) * 64 + left, far)
+            won = key < best
+            best[won] = key[won]
+            what[won] = np.stack([np.full(rows, left), np.full(rows, right), d], 1)[won]
+    return [tuple(w) if b < far else None for b, w in zip(best.tolist(), what.tolist())]
+
+
 def clipped(ref: str, query: str, most_edits: int, clip_cost: int = 1, bottom: bool = False) -> tuple[int, int, int] | None:
     """(left clip, right clip, mismatches) of the best ungapped placement with clipped ends, or None.
 
     A placement needs 2 * mismatches + clipped bases of at most a fifth of the read. Least first: total
     cost, clipped bases, mismatches, left clip.
     """
-    n = len(query)
-    if len(ref) != n:
-        return None
-    bad = np.concatenate([[0], np.cumsum(np.diagonal(cost_matrix(ref, query, bottom)))])
-    best = None
-    for left in range(MOST_CLIPPED + 1):
-        for right in range(MOST_CLIPPED + 1 - left):
-            clip = left + right
-            if clip == 0 or n - clip < LEAST_ALIGNED:
-                continue
-            d = int(bad[n - right] - bad[left])
-            if d <= most_edits and 2 * d + clip <= n // 5:
-                key = (EDIT_COST * d + clip_cost * clip, clip, d, left, right)
-                if best is None or key < best:
-                    best = key
-    return None if best is None else (best[3], best[4], best[2])
+    return clipped_batch([ref], [query], [most_edits], clip_cost, bottom)[0]
 
 
 def best_partition(hits: list[list[int]]) -> tuple[int, list[int]]:
@@ -170,18 +264,6 @@ def best_partition(hits: list[list[int]]) -> tuple[int, list[int]]:
     return cost[1][0], cost[1][1][:-1]
 
 
-def mixed(values: list[int], seed: int = 0) -> int:
-    """Seeded 64-bit avalanche over numbers, each absorbed in turn."""
-    mask = (1 << 64) - 1
-    state = seed & mask
-    for v in values:
-        state = (state ^ v & mask) + 0x9E3779B97F4A7C15 & mask
-        state = (state ^ state >> 30) * 0xBF58476D1CE4E5B9 & mask
-        state = (state ^ state >> 27) * 0x94D049BB133111EB & mask
-        state ^= state >> 31
-    return state
-
-
 def struct_of(**fields: DataType) -> StructType:
     return StructType([StructField(n, t) for n, t in fields.items()])
 
@@ -199,15 +281,51 @@ def distance_udf(ref: pd.Series, query: pd.Series, bottom: pd.Series) -> pd.Seri
 
 @F.pandas_udf(IntegerType())
 def affine_udf(ref: pd.Series, query: pd.Series, bottom: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or q is None else affine_score(r, q, bool(b)) for r, q, b in zip(ref, query, bottom)], dtype="Int32")
+    out: list = [None] * len(ref)
+    for side in (False, True):
+        refs, queries = ref.where(bottom == side, None).tolist(), query.tolist()
+        for rows in _by_length(refs, queries).values():
+            for at in range(0, len(rows), BATCH):
+                part = rows[at : at + BATCH]
+                for i, x in zip(part, affine_batch([refs[i] for i in part], [queries[i] for i in part], side)):
+                    out[i] = x
+    return pd.Series(out, dtype="Int32")
 
 
 @F.pandas_udf(struct_of(left=IntegerType(), right=IntegerType(), distance=IntegerType()))
-def clipped_udf(ref: pd.Series, query: pd.Series, edits: pd.Series) -> pd.DataFrame:
-    rows = [clipped(r, q, int(e)) if r is not None and q is not None else None for r, q, e in zip(ref, query, edits)]
-    return pd.DataFrame([x or (None, None, None) for x in rows], columns=["left", "right", "distance"])
+def clipped_udf(ref: pd.Series, query: pd.Series, edits: pd.Series, bottom: pd.Series) -> pd.DataFrame:
+    out: list = [(None, None, None)] * len(ref)
+    queries, most = query.tolist(), edits.tolist()
+    for side in (False, True):
+        refs = ref.where(bottom == side, None).tolist()
+        for rows in _by_length(refs, queries).values():
+            for i, x in zip(rows, clipped_batch([refs[i] for i in rows], [queries[i] for i in rows], [most[i] for i in rows], bottom=side)):
+                out[i] = x or out[i]
+    return pd.DataFrame(out, columns=["left", "right", "distance"])
+
+
+@F.pandas_udf(IntegerType())
+def mismatches_udf(ref: pd.Series, query: pd.Series) -> pd.Series:
+    """Bisulfite mismatches of a read against as many reference bases of its strand; dots match nothing."""
+    refs, queries = ref.tolist(), query.tolist()
+    out: list = [None] * len(refs)
+    for (n, m), rows in _by_length(refs, queries).items():
+        if n == m:
+            bad = _costs(False)[_codes([refs[i] for i in rows]), _codes([queries[i] for i in rows])].sum(1).tolist() if n else [0] * len(rows)
+            for i, x in zip(rows, bad):
+                out[i] = x
+    return pd.Series(out, dtype="Int32")
 
 
 @F.pandas_udf(ArrayType(struct_of(start=IntegerType(), end=IntegerType(), distance=IntegerType())))
 def flexible_udf(window: pd.Series, query: pd.Series, slack: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("start", "end", "distance"), x)) for x in flexible(w, q, int(s))] if w is not None and q is not None else None for w, q, s in zip(window, query, slack)])
+    windows, queries = window.tolist(), query.tolist()
+    out: list = [None] * len(windows)
+    for most in slack.unique().tolist():
+        mine = (slack == most).tolist()
+        for rows in _by_length([w if m else None for w, m in zip(windows, mine)], queries).values():
+            for at in range(0, len(rows), BATCH):
+                part = rows[at : at + BATCH]
+                for i, found in zip(part, flexible_batch([windows[i] for i in part], [queries[i] for i in part], int(most))):
+                    out[i] = [dict(zip(("start", "end", "distance"), x)) for x in found]
+    return pd.Series(out)

@@ -41,12 +41,6 @@ def rounded_phred(p: Column, most: int) -> Column:
     return F.least(F.floor(phred(p, float(most)) + 0.5), F.lit(most)).cast("int")
 
 
-def log_sum_exp(values: Column) -> Column:
-    """Of an array of doubles."""
-    m = F.array_max(values)
-    return m + F.ln(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
-
-
 def parts_per_billion(text: Column) -> Column:
     """A decimal in 0..1 with at most nine places as integer; null if it is not one."""
     ok = text.rlike(r"^(0(\.[0-9]{1,9})?|1(\.0{1,9})?|\.[0-9]{1,9})$")

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chem import base_cost, converted, reverse_complement
+from ..functions.chem import converted, reverse_complement
+from ..functions.kernels import mismatches_udf
 from .evidence import pieces
 
 # What a seed may hit.
 SEED, MOST_HITS, MOST_HITS_SENSITIVE, LEAST_BASES = 16, 1000, 4096, 16
 MAX_EDITS, FIRST_EDITS = 5, 3
-#: Bases a bin of start positions in band joins.
-BAND = 1024
+#: Bases a piece of reference that windows are cut from.
+WINDOW_PIECE = 16_384
 
 
 def genome_text(contigs: DataFrame) -> DataFrame:
@@ -48,23 +49,17 @@ def kmers(texts: DataFrame, k: int, stride: int = 1, piece: int = PIECE) -> Data
 
 
 def seed_index(contigs: DataFrame, k: int = SEED) -> DataFrame:
-    """(kmer, contig, strand, start, hits): the searchable index; ``hits`` is the k-mer's number of places.
-
-    Written bucketed by kmer it joins with reads without a shuffle of its own.
-    """
+    """(kmer, contig, strand, start, hits): the searchable index; ``hits`` is the k-mer's number of places."""
     rows = kmers(genome_text(contigs), k)
     counts = rows.groupBy("kmer").agg(F.count("*").alias("hits"))
     return rows.join(counts, "kmer")
 
 
-def write_index(index: DataFrame, table: str, buckets: int = 256) -> None:
-    index.write.mode("overwrite").bucketBy(buckets, "kmer").sortBy("kmer").saveAsTable(table)
-
-
 def read_seeds(reads: DataFrame, k: int = SEED, stride: int = 4) -> DataFrame:
     """(read_id, length, offset, kmer) at fixed offsets of ``reads`` (read_id, seq)."""
-    texts = reads.select("read_id", F.length("seq").alias("length"), converted(F.col("seq"), "C>T").alias("text"))
-    return kmers(texts, k, stride).withColumnRenamed("start", "offset")
+    rows = reads.where(F.length("seq") >= k).select("read_id", F.length("seq").alias("length"), converted(F.col("seq"), "C>T").alias("text"))
+    rows = rows.select("read_id", "length", "text", F.explode(F.sequence(F.lit(0), F.col("length") - k, F.lit(stride))).alias("offset"))
+    return rows.select("read_id", "length", "offset", F.substring("text", F.col("offset") + 1, F.lit(k)).alias("kmer")).where(~F.col("kmer").contains("N"))
 
 
 def proof_blocks(seq: Column, edits: int) -> Column:
@@ -120,18 +115,29 @@ def placement_masks(placements: DataFrame, candidates: DataFrame, reach: int = M
     return placements.join(c, ["read_id", "contig", "strand"], "left").groupBy(*keys).agg(F.bit_or(F.coalesce(near, F.lit(0)).cast("bigint")).alias("proof_mask"))
 
 
-def ungapped_distance(window: Column, read: Column) -> Column:
-    """Bisulfite mismatches of a read against as many reference bases of its strand."""
-    at = lambda s, i: F.substring(s, i, F.lit(1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(read)), F.lit(0), lambda acc, i: acc + base_cost(at(window, i), at(read, i), F.lit("T"))).cast("int")
+def windows(rows: DataFrame, contigs: DataFrame, flank: int, longest: int) -> DataFrame:
+    """``rows`` (contig, strand, start, and any others) with ``window``: ``longest`` bases of that strand's text
+    from ``start``, and ``flank`` more on both sides; dots stand beyond the contig.
+
+    Rows meet the piece of text that holds their start, so none carries a contig; a contig many rows
+    fall on is as many keys as it has pieces.
+    """
+    size = max(WINDOW_PIECE, longest + flank)
+    parts = genome_text(contigs).select("contig", "strand", F.explode(pieces(F.col("bases"), size, 2 * flank + 1, longest + flank)).alias("_p")).select("contig", "strand", F.col("_p.piece").alias("_piece"), F.col("_p.bases").alias("_b"))
+    rows = rows.withColumn("_piece", F.floor(F.greatest(F.col("start"), F.lit(0)) / size))
+    at = F.col("start") - flank - F.col("_piece") * size + 2 * flank + 1
+    return rows.join(parts, ["contig", "strand", "_piece"]).withColumn("window", F.substring("_b", (at + 1).cast("int"), F.lit(longest + 2 * flank))).drop("_b", "_piece")
+
+
+def longest_read(reads: DataFrame) -> int:
+    return reads.agg(F.max(F.length("seq"))).first()[0] or 0
 
 
 def verified(candidates: DataFrame, reads: DataFrame, contigs: DataFrame, limit: int = FIRST_EDITS) -> DataFrame:
-    """Candidates within ``limit`` mismatches, with ``distance``; the cheap check before any gapped one."""
-    texts = genome_text(contigs).select("contig", "strand", "bases")
-    rows = candidates.join(reads.select("read_id", "seq"), "read_id").join(texts, ["contig", "strand"])
-    window = F.substring(F.col("bases"), (F.col("start") + 1).cast("int"), F.length("seq"))
-    return rows.withColumn("distance", ungapped_distance(window, F.col("seq"))).where(F.col("distance") <= limit).drop("seq", "bases")
+    """Candidates within ``limit`` mismatches, with ``distance``; the cheap check without gaps."""
+    rows = windows(candidates.join(reads.select("read_id", "seq"), "read_id"), contigs, 0, longest_read(reads))
+    distance = mismatches_udf(F.left("window", F.length("seq")), F.col("seq"))
+    return rows.withColumn("distance", distance).where(F.col("distance") <= limit).drop("seq", "window")
 
 
 def block_filter(window: Column, read: Column, blocks: int = 8, shift: int = 3, least: int = 5) -> Column:
@@ -146,7 +152,7 @@ def block_filter(window: Column, read: Column, blocks: int = 8, shift: int = 3,
     return F.size(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), hit)) >= least
 
 
-def origin(strand: Column, start: Column, end: Column, clip5: Column) -> Column:
+def origin(strand: Column, start: Column, end: Column, clip5: Column | int = 0) -> Column:
     """Place of a placement's first sequenced base, clipped bases included."""
     return F.when(strand.isin("OT", "CTOB"), start - clip5).otherwise(end - 1 + clip5)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import CallingError
 from ..functions.numeric import observation_error
 
 #: Unmapped, secondary, failed, duplicate, supplementary.
@@ -134,9 +133,10 @@ def fragments(records: DataFrame) -> DataFrame:
     read's own.
 
     Mates agree on name, read group and contig, and each lies where the other says its mate lies; the
-    first in order must reach the second's start. Two reads of one segment in a pair are an error.
-    ``records`` needs rname, pos, rnext, pnext (0-based), qname, flag, cigar, rg.
+    first in order must reach the second's start. Two reads of one segment in a pair are an error, and so
+    are mates with overlap that name two strands. ``records`` needs rname, pos, rnext, pnext (0-based), qname, flag, cigar, rg.
     """
+    two_strands = F.lit(False)
     r = records.withColumn("segment", segment(F.col("flag"))).withColumn("ref_end", F.col("pos") + reference_span(cigar_runs(F.col("cigar"))))
     mate_known = (F.col("segment") > 0) & (F.col("flag").bitwiseAND(0x8) == 0) & ((F.col("rnext") == "=") | (F.col("rnext") == F.col("rname")))
     key = F.when(mate_known, F.concat_ws("\t", F.col("qname"), F.coalesce("rg", F.lit("\u0001")), F.col("rname"), F.least("pos", "pnext").cast("string"), F.greatest("pos", "pnext").cast("string")))
@@ -148,7 +148,9 @@ def fragments(records: DataFrame) -> DataFrame:
     reaches = F.max(F.when(F.col("pos") == F.least("pos", "pnext"), F.col("ref_end"))).over(w) > F.greatest("pos", "pnext")
     clash = mate_known & (n > 1) & (F.size(seen) < n)
     together = mate_known & (n == 2) & reaches
-    return r.withColumn("fragment_id", F.when(clash, F.raise_error(F.lit("two mates are the same segment"))).when(together, F.col("_pair")).otherwise(F.concat_ws("\t", F.col("_pair"), F.lit("segment"), F.col("segment").cast("string")))).drop("_pair", "ref_end")
+    if "strand" in records.columns:
+        two_strands = together & (F.min("strand").over(w) != F.max("strand").over(w))
+    return r.withColumn("fragment_id", F.when(clash, F.raise_error(F.lit("two mates are the same segment"))).when(two_strands, F.raise_error(F.concat(F.lit("a fragment's mates name both strands: "), F.col("qname")))).when(together, F.col("_pair")).otherwise(F.concat_ws("\t", F.col("_pair"), F.lit("segment"), F.col("segment").cast("string")))).drop("_pair", "ref_end")
 
 
 def passes(min_base_quality: int, min_mapping_quality: int, deletions: bool) -> Column:
@@ -170,14 +172,3 @@ def collapse_overlaps(observations: DataFrame, min_base_quality: int = 20, min_m
     order = [passes(min_base_quality, min_mapping_quality, deletions).desc(), F.coalesce(known, F.lit(False)).desc(), F.col("query_base").isNotNull().desc(), F.col("base_quality").isNotNull().desc(), error.asc_nulls_last(), F.col("segment").asc(), *extra_order]
     w = Window.partitionBy(*key).orderBy(*order)
     return observations.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
-def checked_strand(observations: DataFrame) -> DataFrame:
-    """Rows (fragment_id) whose observations name both strands; calling must stop if there are any."""
-    return observations.groupBy("fragment_id").agg(F.min("strand").alias("a"), F.max("strand").alias("b")).where("a != b").select("fragment_id")
-
-
-def require_none(bad: DataFrame, message: str) -> None:
-    row = bad.head(1)
-    if row:
-        raise CallingError(f"{message}: {row[0]}")

@@ -36,16 +36,6 @@ def chunked(intervals: DataFrame, size: int) -> DataFrame:
     return pieces.withColumn("end", F.least(F.col("start") + size, F.col("_end"))).drop("_end")
 
 
-def with_ordinals(intervals: DataFrame, order: list[str]) -> DataFrame:
-    """Dictionary-order ordinals from 0. A total order: meant for planned regions, which are few."""
-    return intervals.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
-
-
-def whole(contigs: DataFrame) -> DataFrame:
-    """What is called when no region is named."""
-    return contigs.where("length > 0").select("contig", F.lit(0).cast("bigint").alias("start"), F.col("length").cast("bigint").alias("end"))
-
-
 def clip(rows: DataFrame, islands: DataFrame, position: str = "position", bin_size: int = BIN) -> DataFrame:
     """Rows whose position lies in one of the disjoint ``islands``: an equi-join on contig and bin with
     the range as residual, never a nested loop."""

@@ -61,11 +61,13 @@ def context_of(seq: Column, position: Column) -> tuple[Column, Column]:
 
 
 def site_counts(observations: DataFrame, options: MethylationOptions = MethylationOptions()) -> DataFrame:
-    """Counts by class of every cytosine observed. Partial sums are made before the one shuffle."""
+    """Counts by class of every cytosine observed; contexts that disagree on a site are an error. Partial sums
+    are made before the one shuffle."""
     kind = methylation_class(F.col("reference_base"), F.col("query_base"), F.col("strand"))
     rows = observations.where(passes(options.min_base_quality, options.min_mapping_quality, True)).withColumn("_k", kind).where("_k is not null")
     count = lambda k: F.sum((F.col("_k") == k).cast("bigint")).alias(k)
-    return rows.groupBy("contig", "position", "strand", "context", "second").agg(*[count(k) for k in ("methylated", "unmethylated", "deleted", "different")])
+    one = lambda c: F.when(F.min(c) != F.max(c), F.raise_error(F.lit(f"observations of one site differ in {c}"))).otherwise(F.max(c)).alias(c)
+    return rows.groupBy("contig", "position", "strand").agg(one("context"), one("second"), *[count(k) for k in ("methylated", "unmethylated", "deleted", "different")])
 
 
 def called_sites(sites: DataFrame, options: MethylationOptions = MethylationOptions()) -> DataFrame:

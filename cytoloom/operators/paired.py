@@ -7,12 +7,12 @@ Pairs are mapped whole or not at all.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import mapq
 from ..functions.chem import reverse_complement
+from ..session import cut
 from . import alignment as al
 from .single import placements
 
@@ -27,7 +27,7 @@ def pairings(first: DataFrame, second: DataFrame, span: tuple[int, int]) -> Data
     return rows.where(inward & size.between(*span)).withColumn("span", size).withColumn("total", F.col("distance1") + F.col("distance2")).withColumn("score", mapq.edit_score(F.col("total")))
 
 
-def map_pairs(pairs: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS, span: tuple[int, int] = (0, 1000), non_directional: bool = False, seed: int = 0) -> DataFrame:
+def map_pairs(pairs: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS, span: tuple[int, int] = (0, 1000), non_directional: bool = False, seed: int = 0, index: DataFrame | None = None, sensitive: bool = False) -> DataFrame:
     """One row a pair (pair_id, seq1, seq2): status, quality, the representative, in forward coordinates.
 
     Columns start1 .. end2 are the first and second mate's as read; ``reverse`` tells the first mate's
@@ -36,8 +36,8 @@ def map_pairs(pairs: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS, s
     one = lambda seq: pairs.select(F.col("pair_id").alias("read_id"), seq.alias("seq"))
 
     def directional(a: str, b: str) -> DataFrame:
-        first = placements(one(F.col(a)), contigs, edits)
-        second = placements(one(reverse_complement(F.col(b))), contigs, edits)
+        first = placements(one(F.col(a)), contigs, edits, index, sensitive)
+        second = placements(one(reverse_complement(F.col(b))), contigs, edits, index, sensitive)
         return pairings(first, second, span)
 
     found = directional("seq1", "seq2").withColumn("swapped", F.lit(False))
@@ -46,7 +46,8 @@ def map_pairs(pairs: DataFrame, contigs: DataFrame, edits: int = al.MAX_EDITS, s
     # equal outer ends and labels are one origin, however its gaps fall
     origin = F.struct("contig", "strand", "swapped", "start1", "end2")
     best = Window.partitionBy("pair_id", origin).orderBy(F.desc("score"), "end1", "start2")
-    per = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").persist(StorageLevel.MEMORY_AND_DISK)
+    per = found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    per = cut(per)
     sums = al.score_confidence(per, "pair_id")
     ties = per.join(sums.select("pair_id", "best"), "pair_id").where("score = best").groupBy("pair_id").agg(F.count("*").alias("ties"))
     h = al.tie_hash(F.col("pair_id"), F.col("contig"), F.col("strand"), F.col("start1"), F.col("end2"), seed=seed)

@@ -80,17 +80,16 @@ def runs(cigar: str) -> list[tuple[int, str]]:
 
 
 @F.pandas_udf(struct_of(cigar=StringType(), distance=IntegerType(), nm=IntegerType(), md=StringType(), xm=StringType()))
-def described(flanked: pd.Series, query: pd.Series, top: pd.Series) -> pd.DataFrame:
+def described(flanked: pd.Series, query: pd.Series, top: pd.Series, distance: pd.Series) -> pd.DataFrame:
     """CIGAR, distance and tags of reads in reference orientation; ``flanked`` is the covered reference
-    with two bases more on each side."""
+    with two bases more on each side, ``distance`` that of the placement, or null if it has no gaps."""
     rows = []
-    for f, q, t in zip(flanked, query, top):
-        ref = f[2:-2]
-        if len(ref) == len(q):
-            bad = sum(not (a == b and a != "N" or (a, b) == (("C", "T") if t else ("G", "A"))) for a, b in zip(ref, q))
-            d, cigar = bad, f"{len(q)}M"
-        else:
-            d, cigar, _ = alignment(ref, q, not t)
+    for f, q, t, least in zip(flanked, query, top, distance):
+        ref, cigar = f[2:-2], f"{len(q)}M"
+        d = sum(not (a == b and a != "N" or (a, b) == (("C", "T") if t else ("G", "A"))) for a, b in zip(ref, q))
+        # an insertion and a deletion may leave the lengths equal
+        if len(ref) != len(q) or (not pd.isna(least) and d > least):
+            d, cigar, _ = alignment(ref, q, not t, None if pd.isna(least) else int(least))
         rows.append((cigar, d, *replay(ref, q, runs(cigar), bool(t), contexts(f, bool(t)))))
     return pd.DataFrame(rows, columns=["cigar", "distance", "nm", "md", "xm"])
 

@@ -145,10 +145,10 @@ def three_letter(spark, d):
     return v.reads(spark, d).select("read_id", chem.converted(F.col("seq"), "C>T").alias("ct"), chem.converted(F.col("seq"), "G>A").alias("ga"))
 
 
-@query("""with p as (select p_partkey, upper(substr(p_name, 1, 12)) as s from part)
+@query("""with p as (select p_partkey, upper(p_name) as s from part)
 select p_partkey, case when regexp_full_match(s, '[ACGTN]*') then 0 else length(regexp_extract(s, '^([ACGTN]*)', 1)) + 1 end as first_bad from p""")
 def normalize_check(spark, d):
-    return v.table(spark, d, "part").select("p_partkey", chem.first_bad_base(F.substring("p_name", 1, 12)).cast("bigint").alias("first_bad"))
+    return v.table(spark, d, "part").select("p_partkey", chem.first_bad_base(F.col("p_name")).cast("bigint").alias("first_bad"))
 
 
 @query(f"with {v.READS_SQL} select read_id, md5(seq) as m5, cast(length(seq) as bigint) as n from reads")
@@ -231,15 +231,15 @@ def snp_ad_iad(spark, d):
 _E = "least(0.75, 1.0::double - (1.0::double - power(10.0::double, -least(base_quality, 60) / 10.0::double)) * (1.0::double - power(10.0::double, -least(mapping_quality, 60) / 10.0::double)))"
 
 
-@query(f"""with {SNP_SQL}, l as (select s.contig, s.position, t.g, sum(ln((case when s.query_base = substr(t.g, 1, 1) then 1 - {_E} else {_E} / 3 end + case when s.query_base = substr(t.g, 2, 1) then 1 - {_E} else {_E} / 3 end) / 2)) as ll
- from snv s join chosen c on s.contig = c.contig and s.position = c.position, (values ('AA'), ('AT'), ('TT')) t(g) group by s.contig, s.position, t.g)
+@query(f"""with {SNP_SQL}, l as (select s.contig, s.position, t.g, sum(case when (contains(t.g, 'C') and s.strand = 'T') or (contains(t.g, 'G') and s.strand = 'B') then 0 else ln((case when s.query_base = substr(t.g, 1, 1) then 1 - {_E} else {_E} / 3 end + case when s.query_base = substr(t.g, 2, 1) then 1 - {_E} else {_E} / 3 end) / 2) end) as ll
+ from snv s join chosen c on s.contig = c.contig and s.position = c.position, (values ('AA'), ('AC'), ('AG'), ('AT'), ('CC'), ('CG'), ('CT'), ('GG'), ('GT'), ('TT')) t(g) group by s.contig, s.position, t.g)
 select contig, position, g as genotype, cast(round(ll * 1000) as bigint) as milli_nats from l""")
 def snp_const_loglik(spark, d):
     from ..operators import snp
 
     obs = _snp_observations(spark, d)
     out = snp.constant_log_likelihoods(obs, snp.candidates(obs, _snp_options()))
-    return out.where("genotype in ('AA', 'AT', 'TT')").select("contig", "position", "genotype", F.round(F.col("log_likelihood") * 1000).cast("bigint").alias("milli_nats"))
+    return out.select("contig", "position", "genotype", F.round(F.col("log_likelihood") * 1000).cast("bigint").alias("milli_nats"))
 
 
 @query("""with b(r) as (values ('A'), ('C'), ('G'), ('T')), g(x) as (values ('AA'), ('AC'), ('AG'), ('AT'), ('CC'), ('CG'), ('CT'), ('GG'), ('GT'), ('TT')), f as (select sqrt(1 - 0.001::double) as k)
@@ -386,9 +386,13 @@ def _index(spark, d):
     return alignment.seed_index(v.contigs(spark, d))
 
 
-def _votes(spark, d):
+#: Bases of a read.
+READ = 36
+
+
+def _votes(spark, d, size: int = READ):
     c = v.contigs(spark, d)
-    hits = alignment.seed_hits(alignment.read_seeds(v.reads(spark, d)), alignment.seed_index(c))
+    hits = alignment.seed_hits(alignment.read_seeds(v.reads(spark, d, size)), alignment.seed_index(c))
     return alignment.votes(hits, c.select("contig", F.length("seq").alias("length")))
 
 
@@ -504,9 +508,8 @@ def placement_proof_masks(spark, d):
 b as (select *, cast(unnest(range(0, 8)) as int) as b from w), x as (select *, cast(unnest(range(-3, 4)) as int) as x from b), h as (select read_id, contig, strand, start, b, max(case when b * k + x >= 0 and substr(w, cast(b * k + x + 1 as int), cast(k as int)) = substr(s, cast(b * k + 1 as int), cast(k as int)) then 1 else 0 end) as hit from x group by all)
 select read_id, contig, strand, start, sum(hit) >= 5 as kept from h group by read_id, contig, strand, start""")
 def local_block_filter(spark, d):
-    texts = alignment.genome_text(v.contigs(spark, d)).select("contig", "strand", "bases")
-    rows = _votes(spark, d).join(v.reads(spark, d), "read_id").join(texts, ["contig", "strand"])
-    window = F.substring("bases", (F.col("start") + 1).cast("int"), F.length("seq"))
+    rows = alignment.windows(_votes(spark, d).join(v.reads(spark, d), "read_id"), v.contigs(spark, d), 0, READ)
+    window = F.left("window", F.length("seq"))
     return rows.select("read_id", "contig", "strand", "start", alignment.block_filter(window, F.col("seq")).alias("kept"))
 
 
@@ -521,11 +524,11 @@ def ranked_block_budget(spark, d):
     return alignment.affordable_blocks(rows, 30)
 
 
-@query(f"""with {v.READS_SQL}, a as (select read_id, seq || substr('AGATCGGAAGAGC', 1, cast(8 + read_id % 6 as int)) as s from reads where read_id % 2 = 0), i as (select read_id, s, unnest(range(greatest(length(s) - 30, 0), length(s) - 7)) as i from a),
+@query(f"""with {v.READS_SQL}, a as (select read_id, seq || substr('AGATCGGAAGAGC', 1, cast(8 + read_id % 6 as int)) as s from reads), i as (select read_id, s, unnest(range(greatest(length(s) - 30, 0), length(s) - 7)) as i from a),
 f as (select read_id, min(i) as start from i where substr(s, cast(i + 1 as int), cast(least(length(s) - i, 13) as int)) = substr('AGATCGGAAGAGC', 1, cast(least(length(s) - i, 13) as int)) group by read_id)
 select a.read_id, cast(f.start as int) as start from a left join f on a.read_id = f.read_id""")
 def adapter_scan(spark, d):
-    rows = v.reads(spark, d).where("read_id % 2 = 0").withColumn("s", F.concat("seq", F.expr("substr('AGATCGGAAGAGC', 1, cast(8 + read_id % 6 as int))")))
+    rows = v.reads(spark, d).withColumn("s", F.concat("seq", F.expr("substr('AGATCGGAAGAGC', 1, cast(8 + read_id % 6 as int))")))
     return rows.select("read_id", alignment.adapter_start(F.col("s")).alias("start"))
 
 

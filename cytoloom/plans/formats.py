@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import chem, kernels
 from ..operators import alignment, evidence, records
 from ..sources import fastq, sites
 from . import catalogue as c
@@ -74,50 +74,56 @@ def pair_names(spark, d):
     return rows.select("o_orderkey", fastq.shared_name(F.col("a"), F.col("b")).alias("shared"))
 
 
-def _windows(spark, d):
-    """Reads beside the reference bases of their candidate places, with two bases of flank."""
-    texts = alignment.genome_text(v.contigs(spark, d)).select("contig", "strand", "bases")
-    rows = c._votes(spark, d).where("strand = 'OT'").join(v.reads(spark, d), "read_id").join(texts, ["contig", "strand"])
-    n = F.length("seq")
-    flank = F.rpad(F.concat(F.when(F.col("start") == 0, "..").when(F.col("start") == 1, ".").otherwise(""), F.substring("bases", F.greatest(F.col("start") - 1, F.lit(1)).cast("int"), n + 2 + F.least(F.col("start"), F.lit(2)).cast("int"))), n + 4, ".")
-    return rows.select("read_id", "contig", "start", "seq", F.substring("bases", (F.col("start") + 1).cast("int"), n).alias("window"), flank.alias("flanked"))
+def _windows(spark, d, size: int = c.READ):
+    """Reads beside the reference bases of their candidate places, with two bases of flank, all in the
+    reference's orientation; ``top`` tells the strand."""
+    rows = alignment.windows(c._votes(spark, d, size).join(v.reads(spark, d, size), "read_id"), v.contigs(spark, d), 2, size)
+    top = F.col("strand") == "OT"
+    turned = lambda x: F.when(top, x).otherwise(chem.reverse_complement(x))
+    flanked = F.left("window", F.length("seq") + 4)
+    plain = F.substring(flanked, F.lit(3), F.length("seq"))
+    return rows.select("read_id", "contig", "strand", "start", top.alias("top"), turned(F.col("seq")).alias("seq"), turned(plain).alias("window"), turned(flanked).alias("flanked"))
 
 
+_PLACE = ["read_id", "contig", "strand", "start"]
+
 _WIN = c.KMER_SQL + """, win as (
-  select v.read_id, v.contig, v.start, r.seq, t.bases, cast(unnest(range(1, length(r.seq) + 1)) as int) as i from vote v join reads r using (read_id) join texts t on t.contig = v.contig and t.strand = v.strand where v.strand = 'OT'
+  select v.read_id, v.contig, v.strand, v.start, r.seq, t.bases, cast(unnest(range(1, length(r.seq) + 1)) as int) as i from vote v join reads r using (read_id) join texts t on t.contig = v.contig and t.strand = v.strand
 ), ch as (
-  select read_id, contig, start, i, substr(seq, i, 1) as q, substr(bases, cast(start + i as int), 1) as r, substr(bases, cast(start + i + 1 as int), 1) as r1, substr(bases, cast(start + i + 2 as int), 1) as r2 from win
+  select read_id, contig, strand, start, i, substr(seq, i, 1) as q, substr(bases, cast(start + i as int), 1) as r, substr(bases, cast(start + i + 1 as int), 1) as r1, substr(bases, cast(start + i + 2 as int), 1) as r2 from win
 )"""
 
 
 @c.query(f"""with {_WIN}, x as (select *, case when r <> 'C' then '.' when r1 = 'G' then 'z' when r1 not in ('A', 'C', 'T') or r1 is null or r1 = '' or r2 not in ('A', 'C', 'G', 'T') or r2 is null or r2 = '' then 'u' when r2 = 'G' then 'x' else 'h' end as l from ch)
-select read_id, contig, start, string_agg(case when l = '.' then '.' when q = 'C' then upper(l) when q = 'T' then l else '.' end, '' order by i) as xm from x group by read_id, contig, start""")
+select read_id, contig, strand, start, string_agg(case when l = '.' then '.' when q = 'C' then upper(l) when q = 'T' then l else '.' end, '' order by case when strand = 'OT' then i else -i end) as xm from x group by read_id, contig, strand, start""")
 def bismark_xm(spark, d):
-    rows = _windows(spark, d).withColumn("d", records.described(F.col("flanked"), F.col("seq"), F.lit(True)))
-    return rows.select("read_id", "contig", "start", F.col("d.xm").alias("xm"))
+    rows = _windows(spark, d).withColumn("d", records.described(F.col("flanked"), F.col("seq"), F.col("top"), F.lit(None).cast("int")))
+    return rows.select(*_PLACE, F.col("d.xm").alias("xm"))
 
 
-@c.query(f"with {_WIN} select read_id, contig, start, cast(sum(case when q = r and q <> 'N' then 0 else 1 end) as int) as nm from ch group by read_id, contig, start")
+@c.query(f"with {_WIN} select read_id, contig, strand, start, cast(sum(case when q = r and q <> 'N' then 0 else 1 end) as int) as nm from ch group by read_id, contig, strand, start")
 def nm_ungapped(spark, d):
-    rows = _windows(spark, d).withColumn("d", records.described(F.col("flanked"), F.col("seq"), F.lit(True)))
-    return rows.select("read_id", "contig", "start", F.col("d.nm").alias("nm"))
+    rows = _windows(spark, d).withColumn("d", records.described(F.col("flanked"), F.col("seq"), F.col("top"), F.lit(None).cast("int")))
+    return rows.select(*_PLACE, F.col("d.nm").alias("nm"))
 
 
 @c.query()
 def edit_distance_bs(spark, d):
     """Gapped distances where the window has lost a base."""
-    rows = _windows(spark, d).withColumn("short", F.concat(F.substring("window", 1, 10), F.substring("window", 12, 200)))
-    return rows.select("read_id", "contig", "start", kernels.distance_udf(F.col("short"), F.col("seq"), F.lit(False)).alias("distance"), kernels.alignment_udf(F.col("short"), F.col("seq"), F.lit(False)).alias("path"))
+    short, bottom = F.concat(F.substring("window", 1, 10), F.substring("window", 12, 200)), ~F.col("top")
+    rows = _windows(spark, d).withColumn("distance", kernels.distance_udf(short, F.col("seq"), bottom))
+    return rows.select(*_PLACE, "distance", kernels.alignment_udf(short, F.col("seq"), bottom).alias("path"))
 
 
 @c.query()
 def affine_score(spark, d):
-    return _windows(spark, d).select("read_id", "contig", "start", kernels.affine_udf(F.col("window"), F.col("seq"), F.lit(False)).alias("score"))
+    return _windows(spark, d).select(*_PLACE, kernels.affine_udf(F.col("window"), F.col("seq"), ~F.col("top")).alias("score"))
 
 
 @c.query()
 def semi_global_endpoint(spark, d):
-    return _windows(spark, d).select("read_id", "contig", "start", kernels.clipped_udf(F.col("window"), F.col("seq"), F.lit(5)).alias("clip"))
+    """Reads of 96 bases, as a clipped placement keeps 50 at least."""
+    return _windows(spark, d, 96).select(*_PLACE, kernels.clipped_udf(F.col("window"), F.col("seq"), F.lit(5), ~F.col("top")).alias("clip"))
 
 
 @c.query()

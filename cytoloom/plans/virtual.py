@@ -95,11 +95,11 @@ READS_SQL = f"""letters as (
 )"""
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' small letters as bases, cut into reads of 36."""
+def reads(spark: SparkSession, sf_dir: str, size: int = 36) -> DataFrame:
+    """Documents' small letters as bases, cut into reads."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.translate(F.regexp_replace("text", "[^a-z]", ""), _LETTERS, _BASES).alias("t")).where("length(t) > 0")
-    rows = rows.select("doc_id", "t", F.explode(F.expr("sequence(0, length(t) - 1, 36)")).alias("i"))
-    return rows.selectExpr("doc_id * 100000 + i div 36 as read_id", "substr(t, i + 1, 36) as seq").where("length(seq) >= 3")
+    rows = rows.select("doc_id", "t", F.explode(F.expr(f"sequence(0, length(t) - 1, {size})")).alias("i"))
+    return rows.selectExpr(f"doc_id * 100000 + i div {size} as read_id", f"substr(t, i + 1, {size}) as seq").where("length(seq) >= 3")
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +107,12 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 INTERVALS_SQL = """intervals as (
-  select cast(user_id % 4 as bigint) as contig, (event_id * 7) % 5000 as start, (event_id * 7) % 5000 + 1 + cast(floor(abs(value)) as bigint) % 60 as "end" from events where event_id % 3 = 0
+  select cast(user_id % 4 as bigint) as contig, (event_id * 7) % 5000 as start, (event_id * 7) % 5000 + 1 + cast(floor(abs(value)) as bigint) % 60 as "end" from events
 )"""
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 3 = 0").selectExpr("cast(user_id % 4 as bigint) as contig", "(event_id * 7) % 5000 as start", "(event_id * 7) % 5000 + 1 + cast(floor(abs(value)) as bigint) % 60 as end")
+    return table(spark, sf_dir, "events").selectExpr("cast(user_id % 4 as bigint) as contig", "(event_id * 7) % 5000 as start", "(event_id * 7) % 5000 + 1 + cast(floor(abs(value)) as bigint) % 60 as end")
 
 
 SAMPLES = ("AF", "AO", "NF", "NO", "RF", "RO")

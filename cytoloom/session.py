@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .errors import ConfigurationError
 
 #: ANSI arithmetic makes overflow an error, as counts must be; AQE sizes and splits shuffles at run time.
 SETTINGS = {
@@ -22,3 +28,22 @@ def session(name: str = "cytoloom", master: str | None = None, **settings: str)
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder, with nothing left of its plan.
+
+    A lost executor then costs a re-read. Where ``spark.checkpoint.dir`` is unset and all runs in one process
+    (tests), the folder is one of our own; a cluster without it is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ConfigurationError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="cytoloom-")
+            atexit.register(shutil.rmtree, folder, True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

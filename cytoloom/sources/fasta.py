@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InputError
@@ -15,11 +15,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # a record is what stands between two line beginnings with >, so a genome is read record by record
     text = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "[\r\n]$", "")
     raw = placed(spark, path, "\n>").select("file", "block", "id", text.alias("record"))
+    # only the keys are numbered in one place; sequences are not moved there
     order = Window.partitionBy("file").orderBy("block", "id")
-    rows = raw.withColumn("ordinal", F.row_number().over(order) - 1)
-    first = rows.where("ordinal = 0").select("record").collect()  # a row a file
-    if any(not r.record.startswith(">") for r in first):
+    keys = raw.select("file", "block", "id", F.substring("record", 1, 1).alias("begins")).withColumn("ordinal", F.row_number().over(order) - 1).persist()
+    if not keys.where("ordinal = 0 and begins != '>'").isEmpty():
         raise InputError("the file does not begin with a header")
+    rows = raw.join(keys.drop("begins"), ["file", "block", "id"])
     rows = rows.withColumn("record", F.when(F.col("ordinal") == 0, F.substring("record", 2, 1 << 30)).otherwise(F.col("record")))
     rows = rows.select("file", "ordinal", F.split("record", "\n", 2).alias("p"))
     header = F.col("p")[0]
@@ -37,11 +38,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return out.select("contig", "ordinal", "seq", F.length("seq").cast("bigint").alias("length"), F.md5(F.col("seq").cast("binary")).alias("md5"))
 
 
-def fetch(seq: Column, start: Column, end: Column) -> Column:
-    """Bases of a half-open range."""
-    return F.substring(seq, (start + 1).cast("int"), (end - start).cast("int"))
-
-
 def bases(contigs: DataFrame) -> DataFrame:
     """(contig, position, base): one row a base."""
     return contigs.select("contig", F.posexplode(F.split("seq", "")).alias("position", "base")).where("base != ''").select("contig", F.col("position").cast("bigint").alias("position"), "base")
@@ -69,7 +65,3 @@ def catalogue_errors(contigs: DataFrame, most: int = 1_000_000) -> None:
         raise InputError(f"not a SAM contig name: {bad[0].contig}")
     if contigs.limit(most + 1).count() > most:
         raise InputError("too many contigs")
-
-
-def ordered(contigs: DataFrame) -> DataFrame:
-    return contigs.withColumn("offset", F.sum("length").over(Window.orderBy("ordinal")) - F.col("length"))

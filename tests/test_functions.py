@@ -183,8 +183,8 @@ def test_tags_of_a_record():
 
 
 def test_planning_chunks(spark):
-    contigs = spark.createDataFrame([("chr1", 100), ("chr2", 50)], "contig string, length bigint")
-    got = sorted(tuple(r) for r in intervals.chunked(intervals.whole(contigs), 64).select("contig", "start", "end").collect())
+    contigs = spark.createDataFrame([("chr1", 0, 100), ("chr2", 0, 50)], "contig string, start bigint, end bigint")
+    got = sorted(tuple(r) for r in intervals.chunked(contigs, 64).select("contig", "start", "end").collect())
     assert got == [("chr1", 0, 64), ("chr1", 64, 100), ("chr2", 0, 50)]
     rows = spark.createDataFrame([("chr1", 20, 80), ("chr1", 10, 30)], "contig string, start bigint, end bigint")
     got = sorted(tuple(r) for r in intervals.chunked(intervals.merged(rows), 40).select("contig", "start", "end").collect())
