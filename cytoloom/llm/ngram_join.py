@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .batches import free_names, size_checked, slices, tidy
 from .components import components
-from .scratch import stored
+from .scratch import discard, stored
 
 CACHED_WORDS = 400_000
 #: log2 of the cells of the count sketch, and bits of an n-gram's key that hold the logarithm of its count.
@@ -423,10 +423,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
     return stored(wide.mapInArrow(tidy(run), f"a {_PAIR}, b {_PAIR}, centre boolean, linked boolean, na int, nb int, d int, k int, kc int, diff array<bigint>"), "ngram-judged")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """``rows`` of the tokens that several classes join on, with their number ``m`` and their centre."""
+    centre = rows.groupBy("tok").agg(F.count("*").alias("m"), F.max_by("c", F.struct("shared", F.xxhash64("c"))).alias("middle")).where("m > 1")
+    return rows.join(centre, "tok")
+
+
 def _first_pairs(rows: DataFrame, shape: Shape) -> DataFrame:
     """(a, b, centre, cap): pairs of classes that share a token of few, and of each other class with the centre of a token."""
-    centre = rows.groupBy("tok").agg(F.count("*").alias("m"), F.max_by("c", F.struct("shared", F.xxhash64("c"))).alias("middle")).where("m > 1")
-    rows = stored(rows.join(centre, "tok"), "ngram-shared")
     few = rows.where(F.col("m") <= FEW).select("tok", "c", "n", "cap", "least")
     t = shape.percent
     ab = few.alias("x").join(few.alias("y"), F.expr(f"""x.tok = y.tok and x.c < y.c and 100L * least(x.n, y.n) >= {t}L * greatest(x.n, y.n)
@@ -463,7 +467,9 @@ def links(docs: DataFrame, shape: Shape = Shape()) -> tuple[DataFrame, DataFrame
     docs = docs.select("id", "text", F.xxhash64("text").alias("of"))
     sigs, sketch = _signatures(docs, shape)
     rarest = stored(_rarest(_counted(_prefixes(docs, sketch, shape)), shape), "ngram-rarest")
-    pairs = stored(_first_pairs(rarest, shape), "ngram-first")
+    shared = stored(_shared(rarest), "ngram-shared")
+    pairs = stored(_first_pairs(shared, shape), "ngram-first")
+    discard(rarest, shared)
     sets = _fetched(pairs, docs, sigs, sketch, shape)
     judged = _verified(pairs, sets, shape)
     edges = judged.where("linked").select("a", "b")

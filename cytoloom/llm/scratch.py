@@ -12,9 +12,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), one
+    of our own. A cluster without the setting is an error, as its machines share no folder of theirs."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cytoloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,16 +39,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave and nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path is not None:
+            spark = df.sparkSession
+            _delete(spark, path)
+            _made.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete what this session wrote; results not yet consumed become unreadable."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for owner, path in list(_made):
         if owner is spark:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _delete(spark, path)
             _made.remove((owner, path))
 
 
