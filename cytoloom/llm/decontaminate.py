@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import size_checked
+from .batches import free_names, size_checked
 from .scratch import stored
 
 #: Tokens a window, and the share of an item's windows that must be found.
@@ -108,9 +108,10 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
 
 def drop_found(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item, with their columns as they were."""
-    found = stored(find(docs, items, id_col, text, **how).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "bench-drop")
+    own, its_hash = free_names(docs, "id", "hash")
+    found = stored(find(docs, items, id_col, text, **how).select(F.col(id_col).alias(own), F.col("text_hash").alias(its_hash)).distinct(), "bench-drop")
     found = size_checked(found, BROADCAST_FOUND)
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left_anti")
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(F.col(text)) == F.col(its_hash)), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
