@@ -2,8 +2,9 @@
 
 Two interpolated character models of words are counted, one from toxic and one from ordinary labelled
 documents: order ``ORDER`` from raw counts, each lower order from continuation counts (distinct left
-extensions), the lowest smoothed towards the continuation counts of both classes together, so that
-rare expressions weigh alike under either model. A document's evidence is the difference of the
+extensions). Both are smoothed at every order towards one model of the counts of both classes together:
+the mass that a class's discounts free goes half to its own next lower order and half to the shared one,
+so that rare expressions, which neither class tells much about, weigh alike under either. A document's evidence is the difference of the
 log-likelihoods of its words, divided by their number; a rising curve turns evidence into a score.
 
 Counts cover every labelled training row: words, then grams, are counted exactly in shuffled tables
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .batches import held_out, map_slices, size_checked, slices, tidy
+from .batches import free_names, held_out, map_slices, size_checked, slices, tidy
 from .scratch import stored
 
 _WORD = re.compile(r"\w+")
@@ -39,6 +40,8 @@ _OPEN, _CLOSE = "\x02", "\x03"
 
 #: Characters of the longest gram, and the number of characters among which the lowest order spreads what is unseen.
 ORDER, CHARS = 5, 1 << 16
+#: Share of the discounted mass that goes to the lower order of both classes together.
+SHARED = 0.5
 #: Grams up to this number, of all orders, are broadcast; more are joined by shuffle.
 BROADCAST_GRAMS = 2_000_000
 #: Rows the score curve is fitted on.
@@ -153,14 +156,15 @@ def _at(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
 class Statistics:
     """Of one model: the discounts by order and class, and the sum of the lowest order's counts by class."""
 
-    discount: list
+    discount: list  # by order: of toxic, ordinary and both together
     lowest: tuple
 
 
 @dataclass
 class Model:
     """Exact counts by order: the sorted hashes of the grams with ``count``, and those of their contexts
-    with ``total`` and ``types``, each by class (toxic, ordinary) and with a last cell for what is unseen."""
+    with ``total`` and ``types``, each by class (toxic, ordinary) and with a last cell for what is unseen;
+    ``types`` has both classes together as a third."""
 
     keys: list
     count: list
@@ -176,18 +180,20 @@ class Model:
         cells = [_at(keys, h) for keys, h in zip(self.keys, hashes)]
         before = [None, *[np.append(len(keys), _at(keys, h[:-1])) for keys, h in zip(self.contexts[1:], hashes)]]
         lowest = [n[cells[0]] for n in self.count[0]]
-        shared = (lowest[0] + lowest[1] + 0.5) / (sum(self.stats.lowest) + 0.5 * CHARS)
-        logs = []
-        for c in (0, 1):
-            p = (lowest[c] / max(self.stats.lowest[c], 1) + shared) / 2
-            for k in range(2, ORDER + 1):
-                ctx = before[k - 1]
-                total, d = self.total[k - 1][c][ctx], self.stats.discount[k - 1][c]
-                use = (place >= k - 1) & (total > 0)
-                safe = np.maximum(total, 1)
-                p = np.where(use, np.maximum(self.count[k - 1][c][cells[k - 1]] - d, 0) / safe + d * self.types[k - 1][c][ctx] / safe * p, p)
-            logs.append(np.log(p))
-        out = logs[0] - logs[1]
+        both = (lowest[0] + lowest[1] + 0.5) / (sum(self.stats.lowest) + 0.5 * CHARS)
+        p = [(lowest[c] / max(self.stats.lowest[c], 1) + both) / 2 for c in (0, 1)] + [both]
+        for k in range(2, ORDER + 1):
+            ctx, cell, d = before[k - 1], cells[k - 1], self.stats.discount[k - 1]
+            total = [self.total[k - 1][c][ctx] for c in (0, 1)]
+            count = [self.count[k - 1][c][cell] for c in (0, 1)]
+            total.append(total[0] + total[1])
+            count.append(count[0] + count[1])
+            lower = [(1 - SHARED) * p[0] + SHARED * p[2], (1 - SHARED) * p[1] + SHARED * p[2], p[2]]
+            for c in (0, 1, 2):
+                safe = np.maximum(total[c], 1)
+                new = np.maximum(count[c] - d[c], 0) / safe + d[c] * self.types[k - 1][c][ctx] / safe * lower[c]
+                p[c] = np.where((place >= k - 1) & (total[c] > 0), new, p[c])
+        out = np.log(p[0]) - np.log(p[1])
         out[start] = 0
         return np.add.reduceat(out, start)
 
@@ -204,19 +210,21 @@ class Model:
 
 def statistics(counts: DataFrame) -> dict[str, Statistics]:
     """Of the models of all training rows and of each half."""
-    few = {r["k"]: r for r in counts.groupBy("k").agg(*[F.count(F.when(F.col(c) == n, 1)).alias(f"{c}_{n}") for c in _NAMED for n in (1, 2)], *[F.sum(c).alias(c) for c in _NAMED]).collect()}
+    seen = {c: F.col(c) for c in _NAMED} | {f"{m}_2": F.col(f"{m}_0") + F.col(f"{m}_1") for m in _MODELS}
+    few = {r["k"]: r for r in counts.groupBy("k").agg(*[F.count(F.when(e == n, 1)).alias(f"{c}_{n}") for c, e in seen.items() for n in (1, 2)], *[F.sum(c).alias(c) for c in _NAMED]).collect()}
 
     def discount(k: int, c: str) -> float:
         one, two = (few[k][f"{c}_{n}"] for n in (1, 2)) if k in few else (0, 0)
         return min(max(one / max(1, one + 2 * two), 0.1), 0.9)
 
     own = {m: (f"{m}_0", f"{m}_1") for m in _MODELS}
-    return {m: Statistics([tuple(discount(k, c) for c in own[m]) for k in range(1, ORDER + 1)], tuple(few[1][c] if 1 in few else 0 for c in own[m])) for m in _MODELS}
+    return {m: Statistics([tuple(discount(k, c) for c in (*own[m], f"{m}_2")) for k in range(1, ORDER + 1)], tuple(few[1][c] if 1 in few else 0 for c in own[m])) for m in _MODELS}
 
 
 def _by_context(counts: DataFrame, columns: list[str]) -> DataFrame:
-    """(k, ctx), and of each column the sum and, as ``_n``, the number of grams."""
-    return counts.where("k > 1").groupBy("k", "ctx").agg(*[F.sum(c).alias(c) for c in columns], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_n") for c in columns])
+    """(k, ctx), of each column the sum and, as ``_n``, the number of grams, and that of both classes' grams."""
+    both = {f"{c[:-1]}2_n": (F.col(c) > 0) | (F.col(f"{c[:-1]}1") > 0) for c in columns if c.endswith("_0")}
+    return counts.where("k > 1").groupBy("k", "ctx").agg(*[F.sum(c).alias(c) for c in columns], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_n") for c in columns], *[F.count(F.when(e, 1)).alias(n) for n, e in both.items()])
 
 
 def models(counts: DataFrame, stats: dict[str, Statistics] | None = None) -> dict[str, Model]:
@@ -241,7 +249,7 @@ def models(counts: DataFrame, stats: dict[str, Statistics] | None = None) -> dic
     made = {}
     for m in _MODELS:
         own = [f"{m}_0", f"{m}_1"]
-        made[m] = Model(*tables(by_key, "key", own, own), *tables(by_ctx, "ctx", own, own, [f"{c}_n" for c in own]), stats[m])
+        made[m] = Model(*tables(by_key, "key", own, own), *tables(by_ctx, "ctx", own, own, [f"{c}_n" for c in (*own, f"{m}_2")]), stats[m])
     return made
 
 
@@ -261,17 +269,21 @@ def joined_word_evidence(words: DataFrame, counts: DataFrame, m: str, stats: Sta
     own = [f"{m}_0", f"{m}_1"]
     rows = words.select("word").mapInArrow(tidy(run), "word string, place bigint, k tinyint, key bigint, ctx bigint")
     by_key = counts.select("k", "key", *[F.col(c).alias(f"n{i}") for i, c in enumerate(own)])
-    by_ctx = _by_context(counts, own).select("k", "ctx", *[F.col(c).alias(f"total{i}") for i, c in enumerate(own)], *[F.col(f"{c}_n").alias(f"types{i}") for i, c in enumerate(own)])
+    by_ctx = _by_context(counts, own).select("k", "ctx", *[F.col(c).alias(f"total{i}") for i, c in enumerate(own)], *[F.col(f"{c}_n").alias(f"types{i}") for i, c in enumerate((*own, f"{m}_2"))])
     met = rows.join(by_key, ["k", "key"], "left").join(by_ctx, ["k", "ctx"], "left")
     of = lambda k, c: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0)).alias(f"{c}_{k}")
-    per = met.groupBy("word", "place").agg(*[of(k, f"{c}{i}") for k in range(1, ORDER + 1) for i in (0, 1) for c in (("n", "total", "types") if k > 1 else ("n",))])
-    shared = (F.col("n0_1") + F.col("n1_1") + 0.5) / (sum(stats.lowest) + 0.5 * CHARS)
-    per = per.withColumns({f"p{i}": (F.col(f"n{i}_1") / max(stats.lowest[i], 1) + shared) / 2 for i in (0, 1)})
+    per = met.groupBy("word", "place").agg(*[of(k, c) for k in range(1, ORDER + 1) for c in (("n0", "n1", "total0", "total1", "types0", "types1", "types2") if k > 1 else ("n0", "n1"))])
+    both = (F.col("n0_1") + F.col("n1_1") + 0.5) / (sum(stats.lowest) + 0.5 * CHARS)
+    per = per.withColumns({f"p{i}": (F.col(f"n{i}_1") / max(stats.lowest[i], 1) + both) / 2 for i in (0, 1)} | {"p2": both})
     for k in range(2, ORDER + 1):
         step = {}
-        for i in (0, 1):
-            d, total = stats.discount[k - 1][i], F.col(f"total{i}_{k}")
-            step[f"p{i}"] = F.when(total > 0, F.greatest(F.col(f"n{i}_{k}") - d, F.lit(0.0)) / total + d * F.col(f"types{i}_{k}") / total * F.col(f"p{i}")).otherwise(F.col(f"p{i}"))
+        for i in (0, 1, 2):
+            of_both = lambda c: F.col(f"{c}0_{k}") + F.col(f"{c}1_{k}")
+            d, total = stats.discount[k - 1][i], of_both("total") if i == 2 else F.col(f"total{i}_{k}")
+            count = of_both("n") if i == 2 else F.col(f"n{i}_{k}")
+            lower = F.col("p2") if i == 2 else (1 - SHARED) * F.col(f"p{i}") + SHARED * F.col("p2")
+            new = F.when(total > 0, F.greatest(count - d, F.lit(0.0)) / total + d * F.col(f"types{i}_{k}") / total * lower)
+            step[f"p{i}"] = F.coalesce(F.when(F.col("place") >= k - 1, new), F.col(f"p{i}"))
         per = per.withColumns(step)
     return per.groupBy("word").agg(F.sum(F.log("p0") - F.log("p1")).alias("evidence"))
 
@@ -407,9 +419,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     return rows.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
-def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", scorer: Scorer | None = None, column: str = "__toxicity") -> DataFrame:
+def keep_ordinary(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", scorer: Scorer | None = None) -> DataFrame:
     """The rows of ``docs`` that are not called toxic, with their columns as they were."""
     scorer = scorer or train(docs, labels, id_col, text)
+    column, = free_names(docs, "toxicity")
     return with_score(docs, scorer, text, column).where(F.col(column) < CUT).drop(column)
 
 

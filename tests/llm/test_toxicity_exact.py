@@ -45,19 +45,26 @@ def plain_evidence(texts, toxic, words):
         for k in range(1, tox.ORDER + 1):
             one, two = (sum(x == v for g, x in n.items() if len(g) == k) for v in (1, 2))
             discount[c, k] = min(max(one / max(1, one + 2 * two), 0.1), 0.9)
+    # the third model is of both classes' counts
+    count[2] = count[0] + count[1]
+    total[2], types[2] = total[0] + total[1], Counter(g[:-1] for g in count[2] if len(g) > 1)
+    for k in range(1, tox.ORDER + 1):
+        one, two = (sum(x == v for g, x in count[2].items() if len(g) == k) for v in (1, 2))
+        discount[2, k] = min(max(one / max(1, one + 2 * two), 0.1), 0.9)
     low = [sum(x for g, x in count[c].items() if len(g) == 1) for c in (0, 1)]
     out = []
     for w in map(marked, words):
         logs = [0.0, 0.0]
         for i in range(1, len(w)):
             shared = (count[0][w[i]] + count[1][w[i]] + 0.5) / (sum(low) + 0.5 * 65536)
-            for c in (0, 1):
-                p = (count[c][w[i]] / max(low[c], 1) + shared) / 2
-                for k in range(2, min(tox.ORDER, i + 1) + 1):
-                    g = w[i - k + 1 : i + 1]
+            p = [*[(count[c][w[i]] / max(low[c], 1) + shared) / 2 for c in (0, 1)], shared]
+            for k in range(2, min(tox.ORDER, i + 1) + 1):
+                g = w[i - k + 1 : i + 1]
+                lower = [(p[0] + p[2]) / 2, (p[1] + p[2]) / 2, p[2]]
+                for c in (0, 1, 2):
                     if t := total[c][g[:-1]]:
-                        p = max(count[c][g] - discount[c, k], 0) / t + discount[c, k] * types[c][g[:-1]] / t * p
-                logs[c] += math.log(p)
+                        p[c] = max(count[c][g] - discount[c, k], 0) / t + discount[c, k] * types[c][g[:-1]] / t * lower[c]
+            logs = [x + math.log(y) for x, y in zip(logs, p)]
         out.append(logs[0] - logs[1])
     return np.array(out)
 
@@ -86,3 +93,11 @@ def test_joined_scores_equal_broadcast_ones(spark, corpus, monkeypatch):
     assert np.allclose([x[1] for x in got], [x[1] for x in want], rtol=1e-6)
     kept = tox.keep_ordinary(table, marks)
     assert kept.columns == table.columns and kept.count() == sum(x[1] < tox.CUT for x in want)
+
+
+@pytest.mark.parametrize("extra", ["toxicity", "__toxicity", "Toxicity", "score", "row"])
+def test_clashing_columns_stay(spark, corpus, extra):
+    docs, labels, _ = corpus
+    table = spark.createDataFrame([(i, t, "own") for i, t in docs[:60]], f"doc_id bigint, text string, `{extra}` string")
+    kept = tox.keep_ordinary(table, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert kept.columns == table.columns and {r[2] for r in kept.collect()} <= {"own"}
