@@ -38,6 +38,8 @@ from .scratch import stored
 BROADCAST_LABELS = 2_000_000
 #: Newton steps at most, damping, bins of the prior's estimate and knots of a statistic's basis.
 STEPS, DAMPING, BINS, KNOTS = 12, 1e-3, 400, (0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.98)
+#: Tasks whose sums one task adds, and that may reach the driver.
+FAN = 16
 #: Score from which a document is called good.
 CUT = 0.5
 
@@ -127,14 +129,19 @@ def _sums(table: DataFrame, basis: Basis, w: np.ndarray) -> tuple[np.ndarray, np
     """Over all documents: sum of sigma(g) x, of sigma(1 - sigma) x x', of log(1 + exp g), and their number."""
     k = len(w)
 
+    half = np.triu_indices(k)  # the matrix is symmetric
+
     def of(x):
         a = basis(x)
         g = np.clip(a @ w, -30, 30)
         p = 1 / (1 + np.exp(-g))
-        return np.concatenate([((a * (p * (1 - p))[:, None]).T @ a).ravel(), a.T @ p, [np.log1p(np.exp(g)).sum(), len(g)]])
+        return np.concatenate([((a * (p * (1 - p))[:, None]).T @ a)[half], a.T @ p, [np.log1p(np.exp(g)).sum(), len(g)]])
 
-    out = _summed(table, of, k * k + k + 2)
-    return out[k * k : k * k + k], out[: k * k].reshape(k, k), float(out[-2]), float(out[-1])
+    n = len(half[0])
+    out = _summed(table, of, n + k + 2)
+    matrix = np.zeros((k, k))
+    matrix[half] = out[:n]
+    return out[n : n + k], matrix + np.triu(matrix, 1).T, float(out[-2]), float(out[-1])
 
 
 def _matrix(column) -> np.ndarray:
@@ -142,9 +149,13 @@ def _matrix(column) -> np.ndarray:
 
 
 def _fit(table: DataFrame, positives: DataFrame, basis: Basis, mean_p: np.ndarray, prior: float) -> np.ndarray:
-    """Newton steps on the non-negative risk; ``mean_p`` is the positives' mean basis vector."""
+    """Newton steps on the non-negative risk; ``mean_p`` is the positives' mean basis vector.
+
+    The weights returned are the last whose risk was taken and found lower, with a part for negatives not
+    under zero; a step that was never looked at is not among them.
+    """
     w = np.zeros(len(mean_p))
-    last, step, size = np.inf, np.zeros_like(w), 1.0
+    good, last, step, size = w, np.inf, np.zeros_like(w), 1.0
     for _ in range(STEPS):
         sx, sxx, loss, n = _sums(table, basis, w)
         n = max(n, 1)
@@ -152,9 +163,10 @@ def _fit(table: DataFrame, positives: DataFrame, basis: Basis, mean_p: np.ndarra
         negatives = loss / n - prior * _mean_loss(positives, basis, w)
         if not np.isfinite(risk) or risk > last + 1e-9 or negatives < 0:
             size /= 2
-            w = w - step * size  # take back the half of what was added
+            w = good + step * size  # half of what was added
             continue
-        if last - risk < 1e-6:
+        gain, good = last - risk, w
+        if gain < 1e-6:
             break
         damp = np.full(len(w), DAMPING)
         damp[0] = 1e-9
@@ -162,8 +174,8 @@ def _fit(table: DataFrame, positives: DataFrame, basis: Basis, mean_p: np.ndarra
         last, size = risk, 1.0
         step = -np.linalg.solve(sxx / n + np.diag(damp + 1e-9), grad)
         step *= min(1.0, 20 / max(np.abs(step).max(), 1e-9))
-        w = w + step
-    return w
+        w = good + step
+    return good
 
 
 def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
@@ -173,13 +185,22 @@ def _summed(rows: DataFrame, of, size: int) -> np.ndarray:
         total = np.zeros(size)
         for b in slices(batches):
             total += of(_matrix(b.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    # element by element, so that partial sums are made where the parts are
-    parts = rows.select("x").mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(size)
-    out[parts["i"].to_numpy()] = parts["v"].to_numpy()
-    return out
+    def add(batches):
+        total = np.zeros(size)
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                total += np.frombuffer(s)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    # a task sends one vector, and tasks add up a few each, level by level
+    parts = rows.select("x").mapInArrow(run, "s binary")
+    left = rows.rdd.getNumPartitions()
+    while left > FAN:
+        left = -(-left // FAN)
+        parts = parts.repartition(left).mapInArrow(add, "s binary")
+    return sum((np.frombuffer(r.s) for r in parts.collect()), np.zeros(size))
 
 
 def _mean_of(rows: DataFrame, basis: Basis) -> tuple[np.ndarray, float]:
