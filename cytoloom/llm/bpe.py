@@ -5,7 +5,7 @@ of the split pattern) is cut in halves down to short leaves, leaves are merged b
 are joined up the tree. A join re-encodes a window around the seam and grows it until the tokens
 outside are provably stable: a token sequence is the encoding of its bytes exactly if every adjacent
 pair of tokens is the encoding of the pair's bytes, so once the window's ends pair up with their outer
-neighbours, nothing further out can change. Decoding concatenates up the same tree.
+neighbours, nothing further out can change. Decoding concatenates up a tree, too.
 
 Defined results: null text counts as empty (no tokens); a null id is kept; repeated rows each give a
 row; an empty table gives an empty result; further columns are ignored.
@@ -30,6 +30,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Longest leaf in bytes. Pieces up to this length never need a join.
 LEAF_BYTES = 24
+#: Neighbours that one node of the decoding tree puts together; bytes need no re-encoding, so nodes are wide.
+FAN = 64
 #: Encoded pieces a worker remembers; the memory is emptied when full.
 CACHED_PIECES = 400_000
 
@@ -107,9 +109,13 @@ class Codec:
         """Tree reduction over one piece, without recursion: leaves first, then level by level."""
         if len(piece) <= LEAF_BYTES:
             return self.leaf(piece)
-        level = [self.leaf(piece[i : i + LEAF_BYTES]) for i in range(0, len(piece), LEAF_BYTES)]
+        # halves of halves, as often as it takes for none to be longer than a leaf
+        n = len(piece)
+        depth = (-(-n // LEAF_BYTES) - 1).bit_length()
+        cuts = [n * i >> depth for i in range((1 << depth) + 1)]
+        level = [self.leaf(piece[a:b]) for a, b in zip(cuts, cuts[1:])]
         while len(level) > 1:
-            level = [self.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            level = [self.join(level[k], level[k + 1]) for k in range(0, len(level), 2)]
         return level[0]
 
     def encode_packed(self, text: str) -> bytes:
@@ -123,7 +129,11 @@ class Codec:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.words.__getitem__, ids))
+        """The tokens' bytes, put together up a tree whose nodes have ``FAN`` children."""
+        level = [self.words[t] for t in ids]
+        while len(level) > 1:
+            level = [b"".join(level[k : k + FAN]) for k in range(0, len(level), FAN)]
+        return level[0] if level else b""
 
 
 class _Packed(dict):
