@@ -189,7 +189,11 @@ def disclosing_terms(docs: DataFrame, text: str = "text", threshold: float = DIS
     joined = cand.join(term_counts(docs, text), "term")
     ic = -F.log2(F.least(F.col("seen"), F.lit(n_docs)) / n_docs)
     pmi = F.log2(F.least("n", "docs") * n_docs / (F.col("docs") * F.col("seen")))
-    scored = joined.withColumn("share", F.when(ic > 1.0, pmi / ic)).where(F.col("share") >= threshold)
+    # where most documents hold the class, its information is next to none, and what counts is how far the
+    # term takes its chance from there towards certainty
+    chance, told = F.least(F.col("seen"), F.lit(n_docs)) / n_docs, F.least("n", "docs") / F.col("docs")
+    share = F.when(ic > 1.0, pmi / ic).when(chance < 1, (told - chance) / (1 - chance))
+    scored = joined.withColumn("share", share).where(F.col("share") >= threshold)
     best = scored.groupBy("term").agg(F.max(F.struct((F.col("action") == "remove").alias("r"), "share", "action", "kind")).alias("b"))
     return best.select("term", "b.action", "b.kind", "b.share")
 
