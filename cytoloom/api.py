@@ -17,13 +17,14 @@ from .operators.evidence import alignment_columns, collapse_overlaps, cytosine_s
 from .operators.records import described
 from .session import cut
 from .sinks.files import distinct_paths, matrix_paths, publish, tabbed, write_text
-from .sources import fasta, fastq, sam, sites
+from .sinks.bam import write_bam
+from .sources import bam, fasta, fastq, sam, sites
 
 VERSION = "0.1.0"
 
 
 def observations(spark: SparkSession, input: str, reference: str, regions=(), regions_file: str | None = None, ignore_orphans: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Observed bases of an alignment file (SAM text, or Parquet of its records), the contigs, and the
+    """Observed bases of an alignment file (SAM text, BAM, or Parquet of its records), the contigs, and the
     header (none for Parquet). Positions outside the regions are left out before anything is shuffled."""
     contigs = fasta.read(spark, reference)
     parquet = input.rstrip("/").endswith(".parquet")
@@ -31,10 +32,11 @@ def observations(spark: SparkSession, input: str, reference: str, regions=(), re
     if parquet:
         records = spark.read.parquet(input)
     else:
-        head = sam.header(spark, input)
+        reader = bam if input.endswith(".bam") else sam
+        head = reader.header(spark, input)
         sam.check_header(head)
         fasta.check_identity(contigs, sam.dictionary(head))
-        records = sam.records(spark, input)
+        records = reader.records(spark, input)
     records = fragments(kept_records(records, ignore_orphans).withColumn("strand", cytosine_strand(F.col("xg"))))
     records = with_reference(records.select("fragment_id", "segment", "strand", "rname", "pos", F.col("mapq").alias("mapping_quality"), "cigar", "seq", "qual"), contigs)
     columns = alignment_columns(records.withColumnRenamed("rname", "contig").drop("piece")).where((F.col("position") >= F.col("window_start")) & (F.col("position") < F.col("window_end")))
@@ -202,7 +204,7 @@ def _described(rows: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None, output: str, max_edits: int = al.MAX_EDITS, non_directional: bool = False, span: tuple[int, int] = (0, 1000), mapped_only: bool = False, seed: int = 0, metrics: str | None = None, adapter: str | None = single.ADAPTER, index_path: str | None = None, sensitive: bool = False) -> dict:
-    """Reads, or pairs, to SAM in the order of the input.
+    """Reads, or pairs, to SAM (BAM if ``output`` ends so) in the order of the input.
 
     Single reads that run into ``adapter`` (None: none) are mapped again without it, and its bases clipped;
     ``index_path`` names an index of the same reference, which is else made for the run; ``sensitive``
@@ -259,7 +261,8 @@ def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None,
         mapped = done.select(F.col("pair_id").alias("ordinal"), "k", F.concat_ws("\t", "shared_name", flag.cast("string"), "contig", (F.col("start") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("="), (F.col("mstart") + 1).cast("string"), size.cast("string"), "forward", "fqual", *tags(xr)).alias("row"))
         lost = each.where("contig is null").select(F.col("pair_id").alias("ordinal"), "k", F.concat_ws("\t", "shared_name", F.when(F.col("k") == 1, "77").otherwise("141"), F.lit("*\t0\t0\t*\t*\t0\t0"), "seq", "qual").alias("row"))
         summary = hits
-    write_text(mapped if mapped_only else mapped.unionByName(lost), output, ["ordinal", "k"], sam_header(contigs))
+    write = write_bam if output.endswith(".bam") else write_text
+    write(mapped if mapped_only else mapped.unionByName(lost), output, ["ordinal", "k"], sam_header(contigs))
     counts = {r.status: r.n for r in summary.groupBy("status").agg(F.count("*").alias("n")).collect()}
     report = {"total": sum(counts.values()), **{s: counts.get(s, 0) for s in ("unique", "ambiguous", "unmapped")}, "seed": seed}
     if metrics:

@@ -12,11 +12,16 @@ from ..operators.evidence import cigar_runs, reference_span
 
 
 def header(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, tags) of header lines.
+    """(kind, tags) of header lines."""
+    return header_of(spark.read.text(path))
+
+
+def header_of(lines: DataFrame) -> DataFrame:
+    """(kind, tags) of those of ``lines`` (value) that are a header's.
 
     Tags are guarded row by row, as the optimiser may judge them before the filter on the line's kind.
     """
-    rows = spark.read.text(path).where(F.col("value").startswith("@"))
+    rows = lines.where(F.col("value").startswith("@"))
     fields = F.split("value", "\t")
     tags = F.map_from_entries(F.transform(F.slice(fields, 2, F.size(fields)), lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 4, 1 << 20))))
     return rows.where(~F.col("value").startswith("@CO")).select(F.substring("value", 2, 2).alias("kind"), F.when(F.col("value").startswith("@"), tags).alias("tags"))
