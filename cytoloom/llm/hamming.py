@@ -7,7 +7,8 @@ so the search ends as soon as the k-th verified distance is covered, and its res
 
 Rows with equal codes are one entry that keeps the k + 1 least ids (ties go to the lesser id, and no
 result can name more); a hot vector therefore costs one entry. Entries are dealt into shards of bounded
-size by a hash, queries into blocks; each shard searches each block, and the shards' k best are merged.
+size by a hash. A shard's entries are moved once, its index is made once, and the queries then pass by it
+as a stream; the shards' k best are merged. Only a table of few shards gives each several tasks.
 
 Defined results: a null or empty vector, or one with a null or NaN component, is neither found nor a
 query; a null id is no query and is never found; fewer than k other rows give fewer ranks; repeated ids
@@ -20,15 +21,19 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .batches import slices, tidy
 from .scratch import stored
 
 K, EVERY = 10, 50
-#: Bits a segment (its index has 2 ** bits heads), entries a shard and queries a block.
-SEGMENT_BITS, SHARD_ENTRIES, BLOCK_QUERIES = 16, 65_536, 1_024
+#: Bits a segment (its index has 2 ** bits heads), entries a shard, and tasks that a table of few shards is
+#: given; no entry is copied more often than that, and none in a table of as many shards.
+SEGMENT_BITS, SHARD_ENTRIES, LEAST_TASKS = 16, 65_536, 8
 
 
 def coded(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -41,9 +46,8 @@ def coded(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / 64).cast("int")), word).alias("code"), F.size(v).alias("bits"))
 
 
-def _unpacked(codes, bits: int) -> np.ndarray:
-    words = np.array([np.asarray(c, np.int64) for c in codes]).reshape(len(codes), -1).view(np.uint64)
-    return words
+def _unpacked(codes: list) -> np.ndarray:
+    return np.array(codes, np.int64).reshape(len(codes), -1).view(np.uint64)
 
 
 def _segments(words: np.ndarray, segments: int) -> np.ndarray:
@@ -111,27 +115,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     asked = stored(coded(queries, id_col, vector).distinct(), "mih-asked")
     codes = asked.select("bits", "code").distinct()
     shards = max(1, -(-entries.count() // SHARD_ENTRIES))
-    blocks = max(1, -(-codes.count() // BLOCK_QUERIES))
-    deal = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    copies = -(-LEAST_TASKS // shards)
+    deal = lambda n, salt: F.pmod(F.xxhash64("code", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.select("bits", deal(shards).alias("shard"), every(blocks).alias("block"), "code", "ids")
-    right = codes.select("bits", every(shards).alias("shard"), deal(blocks).alias("block"), "code")
-
-    def search(key, entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(entries) and len(asked):
-            words = _unpacked(entries["code"], key[0])
-            ids = entries["ids"].tolist()
-            weights = np.array([len(x) for x in ids])
-            index = MultiIndex(words)
-            for code in asked["code"]:
-                q = np.asarray(code, np.int64).view(np.uint64)
-                at, d = index.search(q, weights, k + 1)
-                rows = sorted((int(dd), int(i)) for a, dd in zip(at.tolist(), d.tolist()) for i in ids[a])[: k + 1]
-                out += [(key[0], code, i, dd) for dd, i in rows]
-        return pd.DataFrame(out, columns=["bits", "code", "neighbour_id", "distance"])
-
-    near = left.groupBy("bits", "shard", "block").cogroup(right.groupBy("bits", "shard", "block")).applyInPandas(search, f"bits int, code array<bigint>, neighbour_id {entries.schema['ids'].dataType.elementType.simpleString()}, distance int")
+    left = entries.select("bits", deal(shards, "shard").alias("shard"), every(copies).alias("copy"), F.lit(0).alias("asked"), "code", "ids")
+    right = codes.select("bits", every(shards).alias("shard"), deal(copies, "copy").alias("copy"), F.lit(1).alias("asked"), "code", F.lit(None).cast(entries.schema["ids"].dataType).alias("ids"))
+    id_type = entries.schema["ids"].dataType.elementType
+    schema = StructType([*[f for f in entries.schema.fields if f.name in ("bits", "code")], StructField("neighbour_id", id_type), StructField("distance", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def search(batches):
+        key, index = None, None
+        words, ids, weights = [], [], None
+        for part in slices(batches):
+            bits, shard, copy, asked, code, own = (part.column(i).to_pylist() for i in range(6))
+            out = []
+            for b, *where, is_query, c, listed in zip(bits, shard, copy, asked, code, own):
+                if (b, *where) != key:
+                    key, index, words, ids = (b, *where), None, [], []
+                if not is_query:
+                    words.append(c)
+                    ids.append(listed)
+                    continue
+                if not words:
+                    continue
+                if index is None:
+                    index, weights = MultiIndex(_unpacked(words)), np.array([len(x) for x in ids])
+                at, d = index.search(np.asarray(c, np.int64).view(np.uint64), weights, k + 1)
+                out += [(b, c, i, dd) for dd, i in sorted((int(dd), i) for a, dd in zip(at.tolist(), d.tolist()) for i in ids[a])[: k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(list(zip(*out)) or [()] * 4, arrow)], schema=arrow)
+
+    # entries come before the queries of their shard
+    dealt = left.unionByName(right).repartition("bits", "shard", "copy").sortWithinPartitions("bits", "shard", "copy", "asked")
+    near = dealt.select("bits", "shard", "copy", "asked", "code", "ids").mapInArrow(tidy(search), schema)
     best = Window.partitionBy("bits", "code").orderBy("distance", "neighbour_id")
     near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     # equal queries share one search; each then leaves itself out
