@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .batches import map_slices, slices, tidy
 from .scratch import stored
@@ -44,8 +45,8 @@ WINDOW_CHARS = 240
 DISCLOSURE = 0.9
 #: Differing contexts a term needs with one value, and with one class.
 VALUE_CONTEXTS, CLASS_CONTEXTS = 4, 8
-#: Disclosing terms applied in one pass over the texts; more terms take more passes.
-TERMS_PER_PASS = 500_000
+#: Disclosing terms up to this number are broadcast; more are joined to the texts that hold them.
+BROADCAST_TERMS = 500_000
 #: Distinct terms a task counts before it hands the counts on.
 FLUSH_TERMS = 400_000
 
@@ -207,21 +208,37 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", terms:
     """
     terms = disclosing_terms(docs, text) if terms is None else terms
     terms = stored(terms.select("term", "action", "kind"), "pii-terms")
-    n_passes = max(1, -(-terms.count() // TERMS_PER_PASS))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.array().cast("array<struct<kind:string,start:int,end:int,action:string>>").alias("hits"))
-    for k in range(n_passes):
-        chunk = terms.where(F.pmod(F.xxhash64("term"), F.lit(n_passes)) == k).toPandas()
-        lookup = {t: (a, KINDS[c]) for t, a, c in zip(chunk["term"], chunk["action"], chunk["kind"])}
-        found = _apply(found, lookup, last=k == n_passes - 1)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        known = {t: (a, KINDS[c]) for t, a, c in terms.toPandas().itertuples(index=False)}
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+        found = _apply(rows, lambda _: shared.value)
+    else:
+        found = _apply(_with_terms(rows, terms), lambda own: {x["term"]: (x["action"], KINDS[x["kind"]]) for x in own or ()})
     return found.select(F.col("id").alias(id_col), "spans", "clean")
 
 
-def _apply(docs: DataFrame, lookup: dict, last: bool) -> DataFrame:
-    span = "array<struct<kind:string,start:int,end:int,action:string>>"
-    shared = docs.sparkSession.sparkContext.broadcast(lookup)
+def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, text, own): each text with those of ``terms`` that occur in it, by joins; equal texts share theirs."""
+
+    def run(batches):
+        for part in slices(batches, 1):
+            found = [(k, w) for k, t in zip(*(c.to_pylist() for c in part.columns)) if t for w in {*_TERM.findall(t.lower()), *(w.lower() for w in _TERM.findall(t))}]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.string()) for x in (list(zip(*found)) or [(), ()])], names=["key", "term"])
+
+    # a digest of the text stands for it, as ids may be null or repeated
+    keyed = rows.withColumn("key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    met = keyed.select("key", "text").mapInArrow(tidy(run), "key string, term string").join(terms, "term").groupBy("key").agg(F.collect_set(F.struct("term", "action", "kind")).alias("own"))
+    return keyed.join(met, "key", "left").select("id", "text", "own")
+
+
+def _apply(docs: DataFrame, lookup) -> DataFrame:
+    """(id, spans, clean) of ``docs``; ``lookup`` of a row's ``own`` terms (null if all share one table) gives
+    what is done to each term."""
+    if "own" not in docs.columns:
+        docs = docs.withColumn("own", F.lit(None).cast("array<string>"))
 
-    def term_hits(text: str, base: list) -> list[tuple]:
-        known = shared.value
+    def term_hits(text: str, base: list, known: dict) -> list[tuple]:
         if not known or known.keys().isdisjoint(_TERM.findall(text.lower())):
             return []
         out = []
@@ -232,25 +249,17 @@ def _apply(docs: DataFrame, lookup: dict, last: bool) -> DataFrame:
         return out
 
     def run(cols):
-        out: dict[str, list] = {"id": cols["id"], "text": cols["text"], "hits": [], "spans": [], "clean": []}
-        for t, hits in zip(cols["text"], cols["hits"]):
+        out: dict[str, list] = {"id": cols["id"], "spans": [], "clean": []}
+        for t, own in zip(cols["text"], cols["own"]):
             t = t or ""
             base = base_spans(t)
-            hits = [tuple(h.values()) for h in hits] + term_hits(t, base)
-            out["hits"].append([dict(zip(("kind", "start", "end", "action"), h)) for h in hits])
-            if last:
-                spans = [(KINDS[k], s, e, "mask") for k, s, e in base] + sorted(hits, key=lambda h: h[1])
-                out["spans"].append([dict(zip(("kind", "start", "end", "action"), h)) for h in spans])
-                out["clean"].append(_rewritten(t, spans))
+            spans = [(KINDS[k], s, e, "mask") for k, s, e in base] + term_hits(t, base, lookup(own))
+            out["spans"].append([dict(zip(("kind", "start", "end", "action"), h)) for h in spans])
+            out["clean"].append(_rewritten(t, spans))
         return out
 
-    from pyspark.sql.types import StructType
-
-    if last:
-        schema = StructType.fromDDL(f"id {docs.schema['id'].dataType.simpleString()}, spans {span}, clean string")
-    else:
-        schema = StructType.fromDDL(f"id {docs.schema['id'].dataType.simpleString()}, text string, hits {span}")
-    return map_slices(docs, run, schema, "text")
+    schema = StructType.fromDDL(f"id {docs.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int,action:string>>, clean string")
+    return map_slices(docs.select("id", "text", "own"), run, schema, "text")
 
 
 def _rewritten(text: str, spans: list[tuple]) -> str:
