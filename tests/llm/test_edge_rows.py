@@ -127,6 +127,26 @@ def test_prior_estimate_is_near_the_truth():
     assert abs(quality.estimated_prior(h(pos), h(unl)) - 0.7) < 0.05
 
 
+def test_a_very_long_payload(spark):
+    long = "".join(map(chr, range(0x20, 0x7F))) * 40_000
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "x")], "page_id bigint, url string, html string")
+    folder = new_folder(spark, "test-warc-long")
+    files = warc.normalise(warc.write_monolithic(warc.decided(pages), folder + "/a"), folder + "/b")
+    got = {r.page_id: r for r in warc.read_records(files, folder, payload=True).collect()}
+    assert bytes(got["2"].payload) == long.encode() and (got["1"].record_type, got["1"].refers_to, got["1"].payload_bytes) == ("revisit", "2", len(long))
+
+
+def test_terms_joined_equal_terms_broadcast(spark, monkeypatch):
+    texts = [(i, f"Invoice {i} for Zebulon at zeb{i % 3}@mail.example please" if i % 2 else f"plain words {i}") for i in range(30)]
+    rows = spark.createDataFrame([*texts, texts[1], (None, None), (77, ""), (78, "ZEBULON İnvoice 10.0.0.1")], "doc_id bigint, text string")
+    terms = spark.createDataFrame([("zebulon", "remove", 0, 1.0), ("invoice", "generalise", 0, 1.0), ("nowhere", "remove", 1, 1.0)], "term string, action string, kind int, share double")
+    of = lambda: sorted(map(str, pii.sanitise(rows, terms=terms).collect()))
+    want = of()
+    assert sum("<EMAIL-CUE>" in x for x in want) >= 15
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert of() == want
+
+
 def test_archives(spark):
     big, other = "x" * 1500, "é" * 700
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (2, "http://a/2", big), (3, None, None), (4, "", ""), (5, "http://a/\r\nX: y", "small"), (6, "http://a/6", "small"), (None, "http://a/n", big), (7, "u", other), (8, "u", other)]
@@ -157,9 +177,11 @@ def test_urls(spark):
     assert urls.judge(pages, urls.rule_table(spark).where("false")).count() == len(rows)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("shard", [65_536, 16])
+def test_top_k(spark, shard, monkeypatch):
     import random
 
+    monkeypatch.setattr(hamming, "SHARD_ENTRIES", shard)
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(64)]) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(40)] + [(7, rows[7][1])]

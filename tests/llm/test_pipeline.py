@@ -83,3 +83,19 @@ def test_run_gives_the_stages_rows(spark, folder):
     rows = corpus_pipeline.run(spark, path).collect()
     want = {i for i, k in kinds.items() if k in ("clean", "secret")} | {2000, 2001}
     assert {r.doc_id for r in rows} == want
+
+
+def test_stages_of_an_empty_table_and_of_repeated_and_null_rows(spark, folder):
+    path, texts, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    some = [(1, texts[1]), (1, texts[1]), (None, texts[1]), (None, None), (50, "w " * 20_000), (51, " "), (51, " ")]
+    odd = spark.createDataFrame([(i, t, None, "s", None, "own") for i, t in some], "doc_id bigint, text string, lang string, source string, n_chars bigint, __id string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, docs.where("false"), path)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+        got = stage(spark, odd, path)
+        assert got.columns == odd.columns, name
+        n = {i: sum(r.doc_id == i for r in got.collect()) for i in (1, None, 50, 51)}
+        assert n == {1: 1 if name == "near_copies" else 2, None: 2, 50: 1, 51: 2}, name
+    assert corpus_pipeline.tokens(spark, docs.where("false"), path).count() == 0
+    assert corpus_pipeline.tokens(spark, odd, path).count() == len(some)
