@@ -181,3 +181,28 @@ def test_align_clips_adapters_settles_ties_and_uses_an_index(spark, tmp_path):
     (tmp_path / "other.fa").write_text(">g\nACGTACGTACGTACGTACGTACGT\n")
     with pytest.raises(Exception, match="another reference"):
         api.align(spark, str(tmp_path / "other.fa"), str(tmp_path / "r.fq"), None, str(tmp_path / "c.sam"), index_path=str(tmp_path / "idx"))
+
+
+def test_a_sure_mate_rescues_the_other(spark):
+    from cytoloom.operators import paired
+
+    rng = random.Random(14)
+    genome = "".join(rng.choices("ACGT", k=900))
+    contigs = spark.createDataFrame([("g", genome)], "contig string, seq string")
+
+    def spoilt(text):
+        out = list(text)
+        for at in (15, 31, 46):  # no unbroken stretch has a seed's length
+            out[at] = {"A": "G", "C": "G", "G": "T", "T": "G"}[out[at]]
+        return "".join(out)
+
+    top = lambda s, n=60: genome[s : s + n]
+    rows = [(1, top(200), rc(spoilt(top(340)))), (2, spoilt(top(400)), rc(top(560))), (3, top(100), rc(top(250))), (4, top(100), rc(spoilt(top(700)))), (5, rc(top(500)), spoilt(top(380)))]  # in the last, a change of A to G is one that conversion allows
+    pairs = spark.createDataFrame(rows, "pair_id bigint, seq1 string, seq2 string")
+    got = {r.pair_id: r for r in paired.map_pairs(pairs, contigs, span=(100, 300)).collect()}
+    for i, (a, b, d) in {1: (200, 340, (0, 3)), 2: (400, 560, (3, 0)), 3: (100, 250, (0, 0)), 5: (500, 380, (0, 3))}.items():
+        r = got[i]
+        assert (r.status, r.start1, r.start2, r.distance1, r.distance2, r.rescued) == ("unique", a, b, *d, i in (1, 2)), r
+    assert got[1].mapq == 20 and got[3].mapq == 60 and got[4].status == "unmapped"
+    plain = {r.pair_id: r.status for r in paired.map_pairs(pairs, contigs, span=(100, 300), rescue=False).collect()}
+    assert plain == {1: "unmapped", 2: "unmapped", 3: "unique", 4: "unmapped", 5: "unique"}
