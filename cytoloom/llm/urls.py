@@ -1,9 +1,10 @@
 """URL filters by host-suffix and path-prefix expressions.
 
-A URL is expanded into every (host suffix, path prefix) pair that some rule could equal: suffixes at
-label borders up to the rules' greatest number of labels, prefixes of the rules' path lengths. The
-expressions are equi-joined to the rules on a short hash prefix, the full SHA-256 digest then confirms
-the match, and the longest rule wins (of equal length: longer host, then block). All built-in functions.
+A URL is expanded into its host suffixes, at label borders up to the rules' greatest number of labels, and
+each suffix that is a rule's host into path prefixes, of the lengths that this host's rules have; so a URL
+costs a row a suffix, whatever the number of rules. Hosts and then whole expressions are equi-joined to the
+rules on a short hash prefix, the full SHA-256 digest then confirms the match, and the longest rule wins
+(of equal length: longer host, then block). All built-in functions.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and gets the default
 verdict; repeated rows are kept as often as they came; a null id is kept; an empty table gives an empty
@@ -59,17 +60,20 @@ def _digest(host, path):
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """Id, ``host``, ``path``, ``rule`` and ``verdict`` of each row; ``rules`` as from ``rule_table``."""
-    shape = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
-    labels, lengths = shape["labels"] or 0, shape["lengths"] or []
+    labels = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("labels")).first()["labels"] or 0
+    hosts = rules.groupBy("host").agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    hosts = hosts.select(F.sha2(F.col("host").cast("binary"), 256).alias("hdigest"), "lengths").withColumn("hshort", F.substring("hdigest", 1, PREFIX_HEX))
     # equal rows meet once and are counted, so that a hot url costs one row a task
     rows = pages.groupBy(F.col(id_col).alias("id"), F.col(url).alias("url")).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select("id", "url", "n", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = F.split("host", r"\.")
     suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.least(F.lit(max(1, labels)), F.size(parts))), lambda k: F.array_join(F.slice(parts, -k, k), ".")))
-    wanted = F.array(*[F.lit(x) for x in lengths]).cast("array<int>")
-    prefixes = F.transform(F.filter(wanted, lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
-    both = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
-    exprs = rows.select("id", "url", "n", "host", "path", F.explode_outer(both).alias("e")).withColumn("full", _digest(F.col("e.h"), F.col("e.p")))
+    ends = rows.select("id", "url", "n", "host", "path", F.explode_outer(suffixes).alias("h")).withColumn("hfull", F.sha2(F.col("h").cast("binary"), 256))
+    ends = ends.join(size_checked(hosts, BROADCAST_RULES), (F.substring("hfull", 1, PREFIX_HEX) == F.col("hshort")) & (F.col("hfull") == F.col("hdigest")), "left")
+    prefixes = F.transform(F.filter("lengths", lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
+    exprs = ends.select("id", "url", "n", "host", "path", "h", F.explode_outer(prefixes).alias("p"))
+    # what fits no rule's host gets a digest that no rule has, not a null, so that such rows are dealt evenly
+    exprs = exprs.withColumn("full", _digest(F.coalesce("h", F.lit("")), F.coalesce("p", F.concat(F.lit("\u0001"), F.coalesce("url", F.lit(""))))))
     keyed = size_checked(rules.select(F.substring("digest", 1, PREFIX_HEX).alias("short"), "digest", "verdict", F.col("host").alias("rh"), F.col("path").alias("rp")), BROADCAST_RULES)
     hit = exprs.join(keyed, (F.substring("full", 1, PREFIX_HEX) == F.col("short")) & (F.col("full") == F.col("digest")), "left")
     order = F.struct((F.length("rh") + F.length("rp")).alias("l"), F.length("rh").alias("h"), (F.col("verdict") == "block").alias("b"), F.concat("rh", "rp").alias("rule"), F.col("verdict").alias("v"))
