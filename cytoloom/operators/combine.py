@@ -26,19 +26,29 @@ class CombineOptions:
             raise ConfigurationError("the least proportion is 0 to 1")
 
 
-def unordered(sites: DataFrame) -> DataFrame:
+#: Lines whose order one task looks at.
+LINES = 1 << 20
+
+
+def unordered(sites: DataFrame, lines: int = LINES) -> DataFrame:
     """Rows of a sample that do not come strictly after the one before in their contig; ``line`` gives
-    the input's order."""
-    w = Window.partitionBy("sample", "contig").orderBy("line")
+    the input's order. Stretches of lines are looked at apart, each after the last row of the one before."""
     now = F.struct("start", "end", "strand")
-    return sites.withColumn("_before", F.lag(now).over(w)).where(F.col("_before").isNotNull() & (F.col("_before") >= now)).drop("_before")
+    rows = sites.withColumn("_part", F.floor(F.col("line") / lines))
+    ends = rows.groupBy("sample", "contig", "_part").agg(F.max_by(now, "line").alias("_last"))
+    before = ends.select("sample", "contig", "_part", F.lag("_last").over(Window.partitionBy("sample", "contig").orderBy("_part")).alias("_earlier"))
+    w = Window.partitionBy("sample", "contig", "_part").orderBy("line")
+    rows = rows.withColumn("_before", F.lag(now).over(w)).join(before, ["sample", "contig", "_part"]).withColumn("_before", F.coalesce("_before", "_earlier"))
+    return rows.where(F.col("_before").isNotNull() & (F.col("_before") >= now)).select(*sites.columns)
 
 
 def split_contigs(sites: DataFrame) -> DataFrame:
-    """(sample, contig) whose rows are not one block of the input."""
-    w = Window.partitionBy("sample").orderBy("line")
-    starts = sites.withColumn("_new", F.coalesce((F.lag("contig").over(w) != F.col("contig")).cast("int"), F.lit(1)))
-    return starts.groupBy("sample", "contig").agg(F.sum("_new").alias("blocks")).where("blocks > 1")
+    """(sample, contig) whose rows lie among another contig's, or have another's among them. Only the first
+    and last line of each contig are put in order."""
+    ends = sites.groupBy("sample", "contig").agg(F.min("line").alias("_first"), F.max("line").alias("_last"))
+    w = Window.partitionBy("sample").orderBy("_first")
+    reach, follows = F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("_first").over(w)
+    return ends.withColumn("_bad", (reach > F.col("_first")) | (follows < F.col("_last"))).where("_bad").select("sample", "contig")
 
 
 def contig_order(sites: DataFrame) -> list[str]:

@@ -237,3 +237,25 @@ def test_kmers_of_pieces_are_those_of_the_text(spark):
         got = sorted((r.contig, r.start, r.kmer) for r in alignment.kmers(df, 5, stride, piece).collect())
         want = [("c", i, text[i : i + 5]) for i in range(0, 127, stride) if "N" not in text[i : i + 5]]
         assert got == want
+
+
+def test_order_of_a_samples_rows_across_stretches(spark):
+    from cytoloom.operators import combine
+
+    rng = random.Random(3)
+    rows = []
+    for sample in "ab":
+        line = 0
+        for contig in ("x", "y", "z"):
+            at = 0
+            for _ in range(60):
+                at += rng.choice((0, 1, 1, 2, -1))
+                line += rng.randint(1, 3)
+                rows.append((sample, contig, line, at, at + 1, "+"))
+    df = spark.createDataFrame(rows, "sample string, contig string, line bigint, start bigint, end bigint, strand string")
+    want = [b for a, b in zip(rows, rows[1:]) if a[:2] == b[:2] and a[3:] >= b[3:]]
+    for lines in (1, 7, 1 << 20):
+        assert sorted(map(tuple, combine.unordered(df, lines).collect())) == sorted(want)
+    assert combine.split_contigs(df).count() == 0
+    mixed = df.union(spark.createDataFrame([("b", "x", 10_000, 1, 2, "+")], df.schema))
+    assert {(r.sample, r.contig) for r in combine.split_contigs(mixed).collect()} == {("b", "x"), ("b", "y"), ("b", "z")}
