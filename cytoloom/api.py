@@ -203,6 +203,20 @@ def _described(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     return out.select(*rows.columns, ends(F.col("_d.cigar"), clip).alias("cigar"), "_d.nm", "_d.md", ends(F.col("_d.xm"), dots).alias("xm"))
 
 
+def observed(hits: DataFrame) -> dict:
+    """Counts of a run's reads, or pairs, in one pass: by status, by quality, and of what befell them."""
+    one = lambda cond, name: F.coalesce(F.sum(F.coalesce(cond, F.lit(False)).cast("bigint")), F.lit(0)).alias(name)
+    mapped = F.col("status") != "unmapped"
+    of = [F.count("*").alias("total"), *[one(F.col("status") == s, s) for s in ("unique", "ambiguous", "unmapped")]]
+    of += [one(mapped & (F.col("mapq") >= q), f"mapq_{q}") for q in (10, 20, 30, 40)]
+    distances = [F.col(c) for c in ("distance", "distance1", "distance2") if c in hits.columns]
+    of += [one(mapped & (sum(distances[1:], distances[0]) == 0), "without_edits")]
+    for name, column, cond in (("clipped", "retained", lambda c: c.isNotNull()), ("incomplete", "complete", lambda c: ~c), ("rescued", "rescued", lambda c: c)):
+        if column in hits.columns:
+            of.append(one(mapped & cond(F.col(column)), name))
+    return hits.agg(*of).first().asDict()
+
+
 def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None, output: str, max_edits: int = al.MAX_EDITS, non_directional: bool = False, span: tuple[int, int] = (0, 1000), mapped_only: bool = False, seed: int = 0, metrics: str | None = None, adapter: str | None = single.ADAPTER, index_path: str | None = None, sensitive: bool = False) -> dict:
     """Reads, or pairs, to SAM (BAM if ``output`` ends so) in the order of the input.
 
@@ -263,8 +277,7 @@ def align(spark: SparkSession, reference: str, reads1: str, reads2: str | None,
         summary = hits
     write = write_bam if output.endswith(".bam") else write_text
     write(mapped if mapped_only else mapped.unionByName(lost), output, ["ordinal", "k"], sam_header(contigs))
-    counts = {r.status: r.n for r in summary.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    report = {"total": sum(counts.values()), **{s: counts.get(s, 0) for s in ("unique", "ambiguous", "unmapped")}, "seed": seed}
+    report = {"schema": f"align-{'single' if reads2 is None else 'paired'}-1", **observed(summary), "seed": seed}
     if metrics:
         with open(metrics, "w") as f:
             f.write("\t".join(report) + "\n" + "\t".join(map(str, report.values())) + "\n")

@@ -94,6 +94,49 @@ def described(flanked: pd.Series, query: pd.Series, top: pd.Series, distance: pd
     return pd.DataFrame(rows, columns=["cigar", "distance", "nm", "md", "xm"])
 
 
+COUNTS = ("distance", "literal_nm", "matches", "compatible", "mismatches", "unknown", "inserted", "deleted", "gap_runs")
+
+
+def evaluated(ref: str, query: str, cigar: list[tuple[int, str]], top: bool) -> dict[str, int]:
+    """What a CIGAR makes of a read over the reference it covers.
+
+    ``matches`` are equal bases, ``compatible`` differences that conversion explains, ``unknown`` pairs with
+    a letter other than A, C, G, T, ``mismatches`` the rest; ``distance`` counts mismatches, unknown pairs and
+    gap bases, ``literal_nm`` the compatible ones, too. A CIGAR that does not cover both texts is an error.
+    """
+    out = dict.fromkeys(COUNTS, 0)
+    r = q = 0
+    last = ""
+    for n, op in cigar:
+        if op in "M=X":
+            pairs = list(zip(ref[r : r + n], query[q : q + n], strict=True))
+            if len(pairs) != n:
+                raise ValueError("the CIGAR goes beyond a text")
+            for a, b in pairs:
+                kind = "unknown" if a not in "ACGT" or b not in "ACGT" else "matches" if a == b else "compatible" if (a, b) == (("C", "T") if top else ("G", "A")) else "mismatches"
+                out[kind] += 1
+            r, q = r + n, q + n
+        elif op in "ID":
+            out["inserted" if op == "I" else "deleted"] += n
+            out["gap_runs"] += n > 0 and op != last
+            r, q = r + n * (op == "D"), q + n * (op == "I")
+        elif op == "S":
+            q += n
+        last = op if n else last
+    if (r, q) != (len(ref), len(query)):
+        raise ValueError("the CIGAR does not cover both texts")
+    out["distance"] = out["mismatches"] + out["unknown"] + out["inserted"] + out["deleted"]
+    out["literal_nm"] = out["distance"] + out["compatible"]
+    return out
+
+
+@F.pandas_udf(struct_of(**{c: IntegerType() for c in COUNTS}))
+def evaluation(ref: pd.Series, query: pd.Series, cigar: pd.Series, top: pd.Series) -> pd.DataFrame:
+    """``evaluated`` of each row; a null cigar stands for one run of matches or mismatches."""
+    rows = [evaluated(r, q, [(len(q), "M")] if pd.isna(c) else runs(c), bool(t)) for r, q, c, t in zip(ref, query, cigar, top)]
+    return pd.DataFrame(rows, columns=list(COUNTS))
+
+
 def canonical(cigar: list[tuple[int, str]]) -> str:
     """Equal neighbours merged, empty runs dropped."""
     out = []

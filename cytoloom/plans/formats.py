@@ -107,6 +107,14 @@ def nm_ungapped(spark, d):
     return rows.select(*_PLACE, F.col("d.nm").alias("nm"))
 
 
+@c.query(f"""with {_WIN}, x as (select *, case when q = 'N' or r = 'N' then 'u' when q = r then 'm' when r = 'C' and q = 'T' then 'c' else 'x' end as k from ch)
+select read_id, contig, strand, start, cast(sum(case when k = 'm' then 1 else 0 end) as int) as matches, cast(sum(case when k = 'c' then 1 else 0 end) as int) as compatible, cast(sum(case when k = 'x' then 1 else 0 end) as int) as mismatches,
+ cast(sum(case when k = 'u' then 1 else 0 end) as int) as unknown, cast(sum(case when k in ('x', 'u') then 1 else 0 end) as int) as distance, cast(sum(case when k = 'm' then 0 else 1 end) as int) as literal_nm from x group by read_id, contig, strand, start""")
+def ungapped_evaluation(spark, d):
+    rows = _windows(spark, d).withColumn("e", records.evaluation(F.col("window"), F.col("seq"), F.lit(None).cast("string"), F.col("top")))
+    return rows.select(*_PLACE, *[F.col(f"e.{k}").alias(k) for k in ("matches", "compatible", "mismatches", "unknown", "distance", "literal_nm")])
+
+
 @c.query()
 def edit_distance_bs(spark, d):
     """Gapped distances where the window has lost a base."""

@@ -259,3 +259,18 @@ def test_order_of_a_samples_rows_across_stretches(spark):
     assert combine.split_contigs(df).count() == 0
     mixed = df.union(spark.createDataFrame([("b", "x", 10_000, 1, 2, "+")], df.schema))
     assert {(r.sample, r.contig) for r in combine.split_contigs(mixed).collect()} == {("b", "x"), ("b", "y"), ("b", "z")}
+
+
+def test_evaluation_of_a_cigar_agrees_with_the_alignment():
+    rng = random.Random(12)
+    for _ in range(60):
+        r, q = ("".join(rng.choices("ACGTN", (4, 4, 4, 4, 1), k=rng.randint(1, 14))) for _ in "ab")
+        for top in (True, False):
+            d, cigar, _ = kernels.alignment(r, q, not top)
+            out = records.evaluated(r, q, records.runs(cigar), top)
+            ctx = records.contexts(f"..{r}..", top)
+            assert out["distance"] == d and out["literal_nm"] == records.replay(r, q, records.runs(cigar), top, ctx)[0]
+            assert out["matches"] + out["compatible"] + out["mismatches"] + out["unknown"] + out["inserted"] == len(q)
+    with pytest.raises(ValueError):
+        records.evaluated("ACGT", "ACG", [(3, "M")], True)
+    assert records.evaluated("AC", "TTAT", [(2, "S"), (2, "M")], True)["compatible"] == 1
