@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InputError
 from ..functions.chem import converted, reverse_complement
 from ..functions.kernels import mismatches_udf
 from .evidence import pieces
@@ -99,6 +100,30 @@ def votes(hits: DataFrame, lengths: DataFrame, least: int = 1) -> DataFrame:
     return out.where(F.col("support") >= least)
 
 
+def exact_search(patterns: DataFrame, contigs: DataFrame, most: int | None = None) -> DataFrame:
+    """(pattern_id, contig, strand, start): every place where a pattern (pattern_id, seq) of any length stands
+    in a strand's projected text; a pattern with an N stands nowhere. One with over ``most`` places is an
+    error, and never cut short.
+
+    Patterns meet the text on their first bases, up to a seed's, and the rest is compared in windows.
+    """
+    rows = patterns.select("pattern_id", converted(F.col("seq"), "C>T").alias("pattern")).where((F.length("pattern") > 0) & ~F.col("pattern").contains("N"))
+    rows = rows.withColumn("_k", F.least(F.length("pattern"), F.lit(SEED))).withColumn("kmer", F.left("pattern", F.col("_k")))
+    shape = rows.agg(F.sort_array(F.collect_set("_k")).alias("sizes"), F.max(F.length("pattern")).alias("longest")).first()
+    texts, places = genome_text(contigs), None
+    for k in shape["sizes"] or [SEED]:  # at most a seed's length of them
+        one = kmers(texts, k).select("contig", "strand", "start", "kmer", F.lit(k).alias("_k"))
+        places = one if places is None else places.unionByName(one)
+    hit = windows(rows.join(places, ["_k", "kmer"]), contigs, 0, shape["longest"] or SEED)
+    hit = hit.where(converted(F.left("window", F.length("pattern")), "C>T") == F.col("pattern")).select("pattern_id", "contig", "strand", F.col("start").cast("bigint").alias("start"))
+    if most is None:
+        return hit
+    many = hit.groupBy("pattern_id").agg(F.count("*").alias("n")).where(F.col("n") > most).head(1)
+    if many:
+        raise InputError(f"pattern {many[0].pattern_id} has {many[0].n} places, over the limit of {most}")
+    return hit
+
+
 def deduplicated(candidates: DataFrame) -> DataFrame:
     """One row a place, proofs joined."""
     return candidates.groupBy("read_id", "contig", "strand", "start").agg(F.bit_or("proof_mask").alias("proof_mask"))

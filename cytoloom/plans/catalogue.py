@@ -406,6 +406,18 @@ def candidate_votes(spark, d):
     return _votes(spark, d)
 
 
+_PATTERN = "substr({text}, 1, cast(least(length({text}), 8 + read_id % 17) as int))"
+
+
+@query(f"""with {KMER_SQL}, p as (select read_id, {_PATTERN.format(text="replace(seq, 'C', 'T')")} as p from reads where not contains({_PATTERN.format(text="seq")}, 'N')),
+n as (select distinct length(p) as k from p), g as (select contig, strand, i - 1 as start, k, substr(t, i, cast(k as int)) as g from (select contig, strand, t, cast(unnest(range(1, length(t) + 1)) as int) as i from texts), n where i + k - 1 <= length(t))
+select read_id as pattern_id, contig, strand, cast(start as bigint) as start from p join g on length(p.p) = g.k and p.p = g.g""")
+def exact_search(spark, d):
+    """The beginnings of reads, 8 to 24 letters long."""
+    rows = v.reads(spark, d).select(F.col("read_id").alias("pattern_id"), F.expr(_PATTERN.format(text="seq")).alias("seq"))
+    return alignment.exact_search(rows, v.contigs(spark, d))
+
+
 @query(f"with {KMER_SQL} select kmer, cast(max(hits) as bigint) as hits from idx group by kmer having max(hits) > 1")
 def seed_frequency(spark, d):
     return _index(spark, d).groupBy("kmer").agg(F.max("hits").alias("hits")).where("hits > 1")

@@ -206,3 +206,17 @@ def test_a_sure_mate_rescues_the_other(spark):
     assert got[1].mapq == 20 and got[3].mapq == 60 and got[4].status == "unmapped"
     plain = {r.pair_id: r.status for r in paired.map_pairs(pairs, contigs, span=(100, 300), rescue=False).collect()}
     assert plain == {1: "unmapped", 2: "unmapped", 3: "unique", 4: "unmapped", 5: "unique"}
+
+
+def test_exact_search_never_cuts_short(spark):
+    genome = "ACGT" * 30
+    contigs = spark.createDataFrame([("g", genome)], "contig string, seq string")
+    patterns = spark.createDataFrame([(1, "ACG"), (2, "TACGTACGTACGTACGTACG"), (3, "ANG"), (4, ""), (5, "G" * 200)], "pattern_id bigint, seq string")
+    found = alignment.exact_search(patterns, contigs).collect()
+    for i, p in ((1, "ACG"), (2, "TACGTACGTACGTACGTACG")):
+        for strand, text in (("OT", genome), ("OB", rc(genome))):
+            want = [k for k in range(len(text)) if text.replace("C", "T").startswith(p.replace("C", "T"), k)]
+            assert sorted(r.start for r in found if r.pattern_id == i and r.strand == strand) == want
+    assert {r.pattern_id for r in found} == {1, 2}
+    with pytest.raises(Exception, match="limit of 5"):
+        alignment.exact_search(patterns, contigs, most=5)
