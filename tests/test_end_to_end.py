@@ -139,7 +139,7 @@ def test_matrix_holds_the_sites_that_enough_samples_cover(spark, tmp_path):
     # a site needs two of four samples with at least nine observations
     kept = {s: by for s, by in seen.items() if sum(t >= 9 for _, t in by.values()) >= 2}
     report = api.combine(spark, files, str(tmp_path / "all.bed"), "both", CombineOptions(9, 500_000_000))
-    assert report == {"sites_seen": len({s for s, by in seen.items() if any(t >= 9 for _, t in by.values())}), "sites_written": len(kept)} or report["sites_written"] == len(kept)
+    assert report["sites_written"] == len(kept) <= report["sites_seen"] <= len(seen)
     rows = [x.split("\t") for x in (tmp_path / "all.count.bed").read_text().splitlines() if not x.startswith("#")]
     assert [(r[0], int(r[1]), r[5]) for r in rows] == sorted(kept)
     for r in rows:
