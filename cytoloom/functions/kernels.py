@@ -161,6 +161,108 @@ def flexible_batch(windows: list[str], queries: list[str], slack: int, bottom: b
     return out
 
 
+#: Cells of the tables that ``alignment_batch`` and ``distance_batch`` hold at a time.
+CELLS = 1 << 20
+_END = 3
+
+
+def _misses(refs: list[str], queries: list[str], bottom: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bit masks of the bases that each reference base allows and each query base is, a column a row; they
+    meet in no bit for a mismatch."""
+    one = np.array([1, 2, 4, 8, 0], np.uint8)
+    allowed = one.copy()
+    if bottom:
+        allowed[2] |= one[0]
+    else:
+        allowed[1] |= one[3]
+    return np.ascontiguousarray(allowed[_codes(refs)].T), np.ascontiguousarray(one[_codes(queries)].T)
+
+
+def distance_batch(refs: list[str], queries: list[str], bottom: bool = False) -> list[int]:
+    """``distance`` of rows of one length each, a row of the table at a time for all."""
+    m = len(queries[0])
+    ref, query = _misses(refs, queries, bottom)
+    steps = np.arange(m + 1, dtype=np.int32)[:, None]
+    row = np.repeat(steps, len(refs), axis=1)
+    for allowed in ref:
+        best = row + 1
+        np.minimum(best[1:], row[:-1] + ((allowed & query) == 0), out=best[1:])
+        row = np.minimum.accumulate(best - steps, axis=0) + steps
+    return row[-1].tolist()
+
+
+def alignment_batch(refs: list[str], queries: list[str], bottom: bool = False) -> list[tuple[int, str, bool]]:
+    """``alignment`` of rows of one length each, a diagonal of the table at a time for all.
+
+    Edits, gap bases and gap runs are one number, so its minimum is the first of them in that order.
+    """
+    n, m, rows = len(refs[0]), len(queries[0]), len(refs)
+    if not n or not m:
+        return [alignment(r, q, bottom) for r, q in zip(refs, queries)]
+    ref, query = _misses(refs, queries, bottom)
+    query = query[::-1]
+    size = n + m + 1
+    kind = np.int32 if size**3 < 1 << 29 else np.int64
+    inf = 1 << (30 if kind is np.int32 else 62)
+    edit, gap = size * size, size * size + size
+    # of the cells (i, d - i) of a diagonal d, by i: the number by the operation that leads into the cell,
+    # the edits alone, and the ways to have as few; each of the last two diagonals, and the one in work
+    tables = [[np.full((n + 2, rows), inf, kind) for _ in range(3)] for _ in range(3)]
+    leasts = [np.full((n + 2, rows), 1 << 30, np.int32) for _ in range(3)]
+    wayss = [np.zeros((n + 2, rows), np.uint8) for _ in range(3)]
+    # the next operation from a cell, two bits for each that may lead into it
+    picks = np.zeros((n + m + 1, n + 1, rows), np.uint8)
+    for d in range(n + m, -1, -1):
+        now, one, two = d % 3, (d + 1) % 3, (d + 2) % 3
+        lo, hi = max(0, d - m), min(n, d)
+        at, below = slice(lo, hi + 1), slice(lo + 1, hi + 2)
+        if d == n + m:
+            for t in tables[now]:
+                t[n] = 0
+            leasts[now][n], wayss[now][n], picks[d, n] = 0, 1, _END * 21
+        else:
+            # a miss of the cells (n, j) and (i, m) is not read, as nothing stands behind them
+            miss = np.zeros((hi - lo + 1, rows), np.uint8)
+            first, last = lo + (d - lo == m), hi - (hi == n)
+            if first <= last:
+                miss[first - lo : last - lo + 1] = (ref[first : last + 1] & query[m - 1 - d + first : m - d + last]) == 0
+            dele = tables[one][0][below] + gap
+            ins = tables[one][1][at] + gap
+            same = tables[two][2][below] + miss * kind(edit)
+            for came in range(3):
+                x, y = dele + (came != 0), ins + (came != 1)
+                best = np.minimum(np.minimum(x, y), same)
+                tables[now][came][at] = best
+                # the first of D, I and M that has it
+                pick = np.where(x == best, np.uint8(0), np.where(y == best, np.uint8(1), np.uint8(2)))
+                picks[d, at] |= pick << np.uint8(2 * came)
+            x, y, z = leasts[one][below] + 1, leasts[one][at] + 1, leasts[two][below] + miss
+            least = np.minimum(np.minimum(x, y), z)
+            ways = (x == least) * wayss[one][below] + (y == least) * wayss[one][at] + (z == least) * wayss[two][below]
+            leasts[now][at], wayss[now][at] = least, np.minimum(ways, 2)
+        for edge in {lo - 1, hi + 1} - {-1}:
+            for t in tables[now]:
+                t[edge] = inf
+            leasts[now][edge], wayss[now][edge] = 1 << 30, 0
+    down, along = np.array([1, 0, 1, 0]), np.array([1, 1, 2, 0])
+    i, d, came, every = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.full(rows, 2, np.uint8), np.arange(rows)
+    ops = []
+    while True:
+        op = picks[d, i, every] >> 2 * came & 3
+        if (op == _END).all():
+            break
+        ops.append(op)
+        i, d, came = i + down[op], d + along[op], np.where(op == _END, came, op).astype(np.uint8)
+    text = np.frombuffer(b"DIM ", np.uint8)[np.stack(ops, 1)]
+    known: dict[bytes, str] = {}
+    cigars = []
+    for x in map(bytes, text):
+        if x not in known:
+            known[x] = "".join(f"{len(list(g))}{op}" for op, g in groupby(x.decode().rstrip()))
+        cigars.append(known[x])
+    return list(zip(leasts[0][0].tolist(), cigars, (wayss[0][0] > 1).tolist()))
+
+
 def affine_batch(refs: list[str], queries: list[str], bottom: bool = False, band: int = BAND) -> list[int | None]:
     """``affine_score`` of rows of one length each, a row of the band at a time."""
     n, m = len(refs[0]), len(queries[0])
@@ -268,15 +370,30 @@ def struct_of(**fields: DataType) -> StructType:
     return StructType([StructField(n, t) for n, t in fields.items()])
 
 
+def _batched(fn, ref: pd.Series, query: pd.Series, bottom: pd.Series, absent, square: bool = False) -> list:
+    """``fn`` of the rows of equal lengths and side, so many at a time as their tables, of a row of cells or
+    all (``square``), fit CELLS; ``absent`` where a text is null. A null side is the top."""
+    out: list = [absent] * len(ref)
+    queries, side = query.tolist(), np.array([b is not None and bool(b) for b in bottom], bool)
+    for turned in (False, True):
+        refs = ref.where(side == turned, None).tolist()
+        for (n, m), rows in _by_length(refs, queries).items():
+            step = max(1, CELLS // ((n + m + 1) * (n + 1) if square else m + 1))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                for i, x in zip(part, fn([refs[i] for i in part], [queries[i] for i in part], turned)):
+                    out[i] = x
+    return out
+
+
 @F.pandas_udf(struct_of(distance=IntegerType(), cigar=StringType(), multiple=BooleanType()))
 def alignment_udf(ref: pd.Series, query: pd.Series, bottom: pd.Series) -> pd.DataFrame:
-    rows = [(None, None, None) if r is None or q is None else alignment(r, q, bool(b)) for r, q, b in zip(ref, query, bottom)]
-    return pd.DataFrame(rows, columns=["distance", "cigar", "multiple"])
+    return pd.DataFrame(_batched(alignment_batch, ref, query, bottom, (None, None, None), square=True), columns=["distance", "cigar", "multiple"])
 
 
 @F.pandas_udf(IntegerType())
 def distance_udf(ref: pd.Series, query: pd.Series, bottom: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None or q is None else distance(r, q, bool(b)) for r, q, b in zip(ref, query, bottom)], dtype="Int32")
+    return pd.Series(_batched(distance_batch, ref, query, bottom, None), dtype="Int32")
 
 
 @F.pandas_udf(IntegerType())

@@ -1,7 +1,9 @@
 """Single-end mapping against every placement of every read."""
 
 import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +222,30 @@ def test_exact_search_never_cuts_short(spark):
     assert {r.pattern_id for r in found} == {1, 2}
     with pytest.raises(Exception, match="limit of 5"):
         alignment.exact_search(patterns, contigs, most=5)
+
+
+def test_distances_and_paths_of_batches_equal_those_of_rows():
+    rng = random.Random(17)
+    for n, m in [(1, 1), (1, 4), (4, 1), (7, 7), (6, 9), (9, 6), (20, 21), (2, 30), (30, 2), (0, 3), (3, 0)]:
+        for bottom in (False, True):
+            for letters in ("AC", "CT", "AG", "ACGTN"):
+                refs = ["".join(rng.choices(letters, k=n)) for _ in range(25)]
+                queries = ["".join(rng.choices(letters + ".", k=m)) for _ in refs]
+                assert kernels.alignment_batch(refs, queries, bottom) == [kernels.alignment(r, q, bottom) for r, q in zip(refs, queries)]
+                assert kernels.distance_batch(refs, queries, bottom) == [kernels.distance(r, q, bottom) for r, q in zip(refs, queries)]
+
+
+def test_paths_of_many_rows_take_little_time():
+    rng = random.Random(18)
+    refs = ["".join(rng.choices("ACGT", k=35)) for _ in range(4000)]
+    queries = [r[: 10 + i % 20] + "".join(rng.choices("ACGT", k=26 - i % 20)) for i, r in enumerate(refs)]
+    refs[7], queries[8] = None, None
+    sides = [None if i == 9 else i % 3 == 0 for i in range(len(refs))]
+    began = time.process_time()
+    paths = kernels.alignment_udf.func(pd.Series(refs), pd.Series(queries), pd.Series(sides))
+    distances = kernels.distance_udf.func(pd.Series(refs), pd.Series(queries), pd.Series(sides))
+    # a row at a time, this takes half a minute
+    assert time.process_time() - began < 5
+    assert distances.isna().tolist() == paths.cigar.isna().tolist() == [i in (7, 8) for i in range(len(refs))]
+    for i in (0, 1, 2, 9, 10, 3999):
+        assert tuple(paths.loc[i]) == kernels.alignment(refs[i], queries[i], bool(sides[i])) and distances[i] == paths.distance[i]
