@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
+#: On ``file:`` Hadoop starts a process (chmod) for every file and folder it makes, and until that has begun
+#: it counts as a second JVM of the same size. So no side files: pages carry their checksums, and a table is
+#: only read once its write has returned. Other file systems have neither the processes nor the side files.
+_WRITE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false", "parquet.page.write-checksum.enabled": "true"}
+_READ = {"parquet.page.verify-checksum.enabled": "true"}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), one
@@ -38,8 +44,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.options(**_WRITE).parquet(path)
+    out = spark.read.options(**_READ).schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
